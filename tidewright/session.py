@@ -62,3 +62,13 @@ def drop_cut(df: DataFrame) -> None:
 
 def default_sf_dir(sf: str) -> str:
     return os.path.join(os.environ.get("TIDEWRIGHT_DATA", "/root/testdata"), sf)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread few input splits over all cores before costly work in Python; many splits stay where they are.
+
+    The rows are hashed on `key`, so the spread is the same if a task runs again. Above one split a core nothing is
+    shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() < cores else df
