@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries
+from . import corpus_queries, graph_queries
 
-MODULES = [graph_queries]
+MODULES = [graph_queries, corpus_queries]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
