@@ -64,11 +64,20 @@ def default_sf_dir(sf: str) -> str:
     return os.path.join(os.environ.get("TIDEWRIGHT_DATA", "/root/testdata"), sf)
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it, as when it isn't installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread few input splits over all cores before costly work in Python; many splits stay where they are.
 
     The rows are hashed on `key`, so the spread is the same if a task runs again. Above one split a core nothing is
     shuffled.
     """
+    workers_import(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() < cores else df
