@@ -14,9 +14,10 @@ def clean_id(c: Column) -> Column:
     Null, blank and words for "nothing" give null; an id that isn't a number stays as it is, trimmed.
     """
     x = F.regexp_replace(c, r"^[\s\"'\[\](){}#]+|[\s\"'\[\](){}]+$", "")
-    x = F.regexp_replace(x, r"^(\d+)\.0+$", "$1")
-    x = F.regexp_replace(x, r"^0+(?=\d)", "")
-    return F.when(F.lower(x).isin("", "nan", "none", "null", "na", "n/a", "nil", "nat", "-", "<na>", "undefined"), None).otherwise(x)
+    number = F.regexp_extract(x, r"^0*([0-9]+?)(?:\.0+)?$", 1)
+    word = F.lower(x).isin("", "nan", "none", "null", "na", "n/a", "nil", "nat", "-", "<na>", "undefined")
+    # most ids are bare digits already and cost one match
+    return F.when(c.rlike("^[1-9][0-9]*$"), c).when(c.isNull(), None).when(number != "", number).when(~word, x)
 
 
 def id_order(c: Column) -> Column:
@@ -26,7 +27,8 @@ def id_order(c: Column) -> Column:
 
 def has_text(c: Column) -> Column:
     """Whether anything is left without white space and invisible characters; null counts as no text."""
-    return F.length(F.regexp_replace(F.coalesce(c, F.lit("")), _BLANKS, "")) > 0
+    # a letter or digit settles most texts at once
+    return F.coalesce(c.rlike("[A-Za-z0-9]") | (F.length(F.regexp_replace(c, _BLANKS, "")) > 0), F.lit(False))
 
 
 def parse_time(c: Column) -> Column:

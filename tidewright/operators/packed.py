@@ -100,7 +100,7 @@ def split_packed(
     rows = df.select(F.col(key).alias("_k"), F.col(cell).alias("_raw"), source.alias("_s")).where(F.col("_raw").rlike("[0-9]"))
     plain = F.col("_raw").rlike(r"^\s*[0-9]+(?:\.0+)?\s*$")
     single = rows.where(plain).select(
-        "_k", F.lit(1).alias("pos"), F.regexp_replace(F.trim(F.col("_raw")), r"\.0+$|\s+", "").alias(out)
+        "_k", F.lit(1).alias("pos"), F.when(F.col("_raw").rlike("^[0-9]+$"), F.col("_raw")).otherwise(F.regexp_replace(F.trim(F.col("_raw")), r"\.0+$|\s+", "")).alias(out)
     )
     packed = rows.where(~plain)
     scores = delimiter_scores(packed, F.col("_raw"), F.col("_s"), id_pattern)
