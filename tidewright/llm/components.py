@@ -16,14 +16,15 @@ from ..operators.packed import account, split_packed
 from ..session import cut, drop_cut
 
 
-def contract(edges: DataFrame, left: str, right: str, seed: int = 17, max_rounds: int = 200) -> DataFrame:
+def contract(edges: DataFrame, left: str, right: str, seed: int = 17, max_rounds: int = 200, distinct: bool = False) -> DataFrame:
     """(vertex, rep) for every vertex that has an edge to another one; equal rep means connected.
 
     Null ends and self-links are left out; repeated and reversed edges count once; an empty table gives no rows.
+    `distinct` says that the edges are so already.
     """
     a, b = F.col(left).alias("a"), F.col(right).alias("b")
-    live = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-    live = cut(live)
+    live = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b")
+    live = cut(live if distinct else live.distinct())
     maps: list[DataFrame] = []
     for r in range(max_rounds):
         if not live.take(1):
@@ -66,11 +67,12 @@ def group_ids(vertices: DataFrame, key: str, edges: DataFrame, left: str, right:
     give no row. An empty table gives no rows.
     """
     ids = vertices.select(F.col(key).alias("vertex")).where("vertex is not null").distinct()
-    e = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
+    # most links are stated at both ends: once is enough, and before the lookups
+    e = edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a <> b").distinct()
     known = ids.withColumnRenamed("vertex", "b")
     e = e.join(known, "b", "left_semi")
     e = e.join(known.withColumnRenamed("b", "a"), "a", "left_semi")
-    reps = cut(contract(e, "a", "b"))
+    reps = cut(contract(e, "a", "b", distinct=True))
     least = reps.groupBy("rep").agg(F.min(id_order(F.col("vertex")))["id"].alias("m"))
     # a representative is a vertex of its group as well
     named = reps.join(least, "rep").select("vertex", F.least(id_order(F.col("m")), id_order(F.col("rep")))["id"].alias("g"))
