@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import pii, residue
+from . import mojibake, pii, residue
 
 #: The types p2_found reports; the operator also finds payment cards and IBANs.
 REPORTED = ["EMAIL", "PHONE", "IDENTITY_NUMBER", "ADDRESS", "NAME"]
@@ -34,6 +34,20 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact_column(t, "text", "redacted").select("tweet_id", "redacted")
 
 
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.find_garbled(table(spark, sf_dir, "tweets").select("tweet_id", "text"), "tweet_id", "text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tweet_id) of every message that was, or holds a piece that was, decoded with a wrong encoding."""
+    return _garbled(spark, sf_dir).select("tweet_id").distinct()
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tweet_id, restored, states) of those messages, as first written where the characters allow it."""
+    return _garbled(spark, sf_dir).select("tweet_id", "restored", F.array_join("states", " ").alias("states")).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(example_id) of every example whose response is or contains residue."""
     return residue.find_residue(_judged(spark, sf_dir), "example_id", "generated_response").select("example_id").distinct()
@@ -45,5 +59,5 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("example_id", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.countDistinct("example_id").alias("examples"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_restored": p3_restored, "p6_found": p6_found, "p6_kinds": p6_kinds}
 ORACLE: dict[str, str] = {}
