@@ -2,18 +2,22 @@
 
 Weighted cosine join. The words of a message, the k-th use of a word being a term of its own, are a vector of equal
 weights 1/sqrt(n). If two messages of n and m words share c of them (counted with repeats), c / (n + m - c) >= s means
-c >= s/(1+s) * (n + m), hence a dot product of at least 2s/(1+s): 14/17 for s = 7/10. Terms are ordered from rare to
-frequent over both sides. A vector enters the inverted lists with its first terms only, until the residual (the norm
-and the count of what is left) can't reach the bound any more; two lists' entries meet only if the weights that both
-still have behind the common term can reach it. Of the pairs that are left the dot product is computed exactly.
+c >= s/(1+s) * (n + m), hence a dot product of at least 2s/(1+s): 14/17 for s = 7/10, and c of at least s * n.
+Terms are ordered from rare to frequent over both sides. A training vector enters the inverted lists with its first
+n - need + l terms only: what is left behind them has too small a norm to reach the bound unless l of the first terms
+are shared. Each evaluation vector adds up the weights it meets in the lists of its own first terms, drops whatever
+can't reach the bound with its residual any more, and takes exact dot products with the rest. Nothing but the final
+pairs leaves a task. The evaluation classes are a stated query set, run against all training classes in blocks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, workers_import
 
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 _LINK = r"(?i)\b(?:https?://|www\.)\S+"
@@ -38,13 +42,19 @@ def _numbered(w: Column) -> Column:
     return F.transform(w, lambda x, i: F.concat(x, F.lit(" "), (i + 2 - F.array_position(w, x)).cast("string")))
 
 
+#: Classes of a block of each side; together they bound a task's memory.
+EVAL_BLOCK, TRAIN_BLOCK = 8_000, 30_000
+#: How many of the first terms two near vectors must share at most (l above).
+SHARED = 8
+
+
 def _vectors(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: side, split, id, cls), (classes: cls, side, n, terms): messages with the same words are one class."""
     w = records.select("side", "split", "id", F.array_sort(words(F.col("text"))).alias("w")).where(F.size("w") > 0)
-    w = w.withColumn("cls", F.md5(F.concat_ws(" ", "w")))
-    members = cut(w.select("side", "split", "id", "cls", "w").distinct())
-    classes = members.groupBy("side", "cls").agg(F.first("w").alias("w")).select("side", "cls", F.size("w").alias("n"), _numbered(F.col("w")).alias("terms"))
-    return members.drop("w"), cut(classes)
+    members = cut(w.withColumn("bag", F.md5(F.concat_ws(" ", "w"))).distinct())
+    bags = members.groupBy("bag").agg(F.first("w").alias("w"), F.max(F.col("side") == "e").alias("e"), F.max(F.col("side") == "t").alias("t"))
+    classes = cut(bags.select("bag", F.monotonically_increasing_id().alias("cls"), "e", "t", F.size("w").alias("n"), _numbered(F.col("w")).alias("terms")))
+    return cut(members.drop("w").join(classes.select("bag", "cls"), "bag").drop("bag")), classes
 
 
 def overlaps(eval_records: DataFrame, train_records: DataFrame, least: tuple[int, int] = (7, 10)) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -57,32 +67,74 @@ def overlaps(eval_records: DataFrame, train_records: DataFrame, least: tuple[int
     num, den = least
     tag = lambda d, s: d.select(F.lit(s).alias("side"), "split", F.col("id").cast("string").alias("id"), "text")
     members, classes = _vectors(tag(eval_records, "e").unionByName(tag(train_records, "t")))
-    tall = classes.select("side", "cls", "n", F.explode("terms").alias("term"))
+    tall = classes.select("cls", F.explode("terms").alias("term"))
     freq = tall.groupBy("term").agg(F.count("*").alias("df"))
-    ranked = tall.join(freq, "term").groupBy("side", "cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("v"))
-    # a partner of J >= num/den has at least n*num/den words in common: what is behind the first terms can't reach that
-    need = F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9).cast("int")
-    lists = ranked.select("side", "cls", "n", F.posexplode(F.slice("v", F.lit(1), F.col("n") - need + 1)).alias("pos", "x")).select("side", "cls", "n", "pos", F.col("x.term").alias("term"))
-    lists = cut(lists)
-    e = lists.where("side = 'e'").select("term", F.col("cls").alias("e_cls"), F.col("n").alias("e_n"), F.col("pos").alias("e_pos"))
-    t = lists.where("side = 't'").select("term", F.col("cls").alias("t_cls"), F.col("n").alias("t_n"), F.col("pos").alias("t_pos"))
-    # c >= num/(num+den) * (n+m); the residual bound counts what either vector has from the common term on
-    bound = (F.col("e_n") + F.col("t_n")) * num / F.lit(float(num + den)) - 1e-9
-    near = (
-        e.join(t, "term")
-        .where((F.col("e_n") * den >= F.col("t_n") * num) & (F.col("t_n") * den >= F.col("e_n") * num))
-        .where(F.least(F.col("e_n") - F.col("e_pos"), F.col("t_n") - F.col("t_pos")) + F.least("e_pos", "t_pos") >= bound)
-        .select("e_cls", "t_cls").distinct()
-    )
-    ev = classes.where("side = 'e'").select(F.col("cls").alias("e_cls"), F.col("n").alias("e_n"), F.col("terms").alias("e_terms"))
-    tv = classes.where("side = 't'").select(F.col("cls").alias("t_cls"), F.col("n").alias("t_n"), F.col("terms").alias("t_terms"))
-    exact = near.join(ev, "e_cls").join(tv, "t_cls").withColumn("shared", F.size(F.array_intersect("e_terms", "t_terms")))
-    pairs = exact.where(F.col("shared") * den >= (F.col("e_n") + F.col("t_n") - F.col("shared")) * num).select(
-        "e_cls", "t_cls", "shared", (F.col("shared") / F.sqrt(F.col("e_n") * F.col("t_n"))).alias("cosine")
-    )
+    vectors = tall.join(freq, "term").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("term").alias("h")))).alias("v"))
+    vectors = cut(vectors.join(classes.select("cls", "e", "t"), "cls").select("cls", "e", "t", F.transform("v", lambda x: x["h"]).alias("v")))
+    n_e, n_t = vectors.agg(F.count_if("e"), F.count_if("t")).first()
+    b_e, b_t = max(1, -(-(n_e or 0) // EVAL_BLOCK)), max(1, -(-(n_t or 0) // TRAIN_BLOCK))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ev = vectors.where("e").select(F.pmod(F.xxhash64(F.lit(1), "cls"), F.lit(b_e)).cast("int").alias("eb"), copies(b_t).alias("tb"), "cls", "v")
+    tv = vectors.where("t").select(copies(b_e).alias("eb"), F.pmod(F.xxhash64(F.lit(2), "cls"), F.lit(b_t)).cast("int").alias("tb"), "cls", "v")
+    workers_import(classes.sparkSession)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _join_blocks(left, right, num, den)
+
+    pairs = ev.groupBy("eb", "tb").cogroup(tv.groupBy("eb", "tb")).applyInArrow(run, "e_cls bigint, t_cls bigint, shared int, cosine double")
     return pairs, members.where("side = 'e'"), members.where("side = 't'")
 
 
+def _lists(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, values, offsets) of a block's vectors."""
+    t = t.combine_chunks()
+    v = t.column("v").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int64()))
+    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+    return t.column("cls").to_numpy(), v.flatten().to_numpy(), np.concatenate([[0], np.cumsum(v.value_lengths().to_numpy())]).astype(np.int64)
+
+
+def _join_blocks(left: pa.Table, right: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs of an evaluation block and a training block, exact."""
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    if left.num_rows and right.num_rows:
+        e_cls, e_val, e_off = _lists(left)
+        t_cls, t_val, t_off = _lists(right)
+        n_t = np.diff(t_off)
+        need_t = -(-n_t * num // den)
+        l_t = np.minimum(SHARED, np.maximum(1, need_t // 2))
+        first = np.minimum(n_t, n_t - need_t + l_t)
+        # inverted lists of the first terms alone
+        rows = np.repeat(np.arange(len(n_t)), first)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(first) - first, first) + np.repeat(t_off[:-1], first)
+        order = np.argsort(t_val[at], kind="stable")
+        terms, starts = np.unique(t_val[at][order], return_index=True)
+        rows = rows[order]
+        ends = np.append(starts[1:], len(rows))
+        for i in range(len(e_cls)):
+            v = e_val[e_off[i] : e_off[i + 1]]
+            n = len(v)
+            need = -(-n * num // den)
+            l_e = min(SHARED, max(1, need // 2))
+            probe = v[: min(n, n - need + l_e)]
+            k = np.searchsorted(terms, probe)
+            k = k[(k < len(terms)) & (terms[np.minimum(k, len(terms) - 1)] == probe)]
+            if not len(k):
+                continue
+            met = np.bincount(np.concatenate([rows[starts[x] : ends[x]] for x in k]), minlength=len(n_t))
+            # the residual bound, and the sizes that can reach the bound at all
+            near = np.nonzero((met >= np.minimum(l_e, l_t)) & (n_t * den >= n * num) & (n * den >= n_t * num))[0]
+            if not len(near):
+                continue
+            mine = set(v.tolist())
+            for j in near:
+                m = int(n_t[j])
+                c = len(mine.intersection(t_val[t_off[j] : t_off[j + 1]].tolist()))
+                if c * den >= (n + m - c) * num:
+                    for column, x in zip(out, (e_cls[i], t_cls[j], c, c / float(np.sqrt(n * m))), strict=True):
+                        column.append(x)
+    return pa.table({"e_cls": pa.array(out[0], pa.int64()), "t_cls": pa.array(out[1], pa.int64()), "shared": pa.array(out[2], pa.int32()), "cosine": pa.array(out[3], pa.float64())})
+
+
 def overlap_rows(eval_records: DataFrame, train_records: DataFrame, least: tuple[int, int] = (7, 10)) -> DataFrame:
     """(eval_split, eval_id, train_split, thread_id) of every overlapping pair of records, each once."""
     pairs, e, t = overlaps(eval_records, train_records, least)
