@@ -1,16 +1,18 @@
 """Reachability and components of an undirected graph given as rows of two ends.
 
-This is the component operator of the message tables: labels are the least id in numeric order, spread along edges
-with pointer jumping each round. Every round ends in a table in the shared folder.
+This is the component operator of the message tables: labels are the least id in numeric order; every round a vertex
+and the vertex its label names take over the least label around, and labels jump to their labels' labels, so that
+long chains need about log(n) rounds. Every round ends in a table in the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import id_order
 from ..session import cut, drop_cut
+from .rank import ranged_running
 
 
 def both_ways(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -40,28 +42,34 @@ def reachable(seeds: DataFrame, edges: DataFrame, left: str, right: str, max_rou
     return seen
 
 
-def components(vertices: DataFrame, edges: DataFrame, left: str, right: str, out: str = "component", max_rounds: int = 200, order: Column | None = None) -> DataFrame:
-    """(id, out): the least id of its component for every distinct id of `vertices` (id).
+def components(vertices: DataFrame, edges: DataFrame, left: str, right: str, out: str = "component", max_rounds: int = 200) -> DataFrame:
+    """(id, out): the least id of its component for every distinct id of `vertices` (its first column).
 
     Only edges of which both ends are vertices tie. Least is by number, ids that aren't numbers last. Null ids give
-    no row; an empty table gives no rows.
+    no row; an empty table gives no rows. Ids are numbered in that order first, so that the rounds handle longs.
     """
-    name = vertices.columns[0]
-    ids = vertices.select(F.col(name).cast("string").alias("id")).where("id is not null").distinct()
-    e = both_ways(edges.select(F.col(left).cast("string").alias("l"), F.col(right).cast("string").alias("r")), "l", "r")
-    e = e.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi")
-    e = cut(e)
-    # the sort key of a label travels with it, so that least needs no lookup
-    tied = cut(e.select(F.col("a").alias("id")).distinct().select("id", id_order(F.col("id")).alias("label")))
+    ids = vertices.select(F.col(vertices.columns[0]).cast("string").alias("id")).where("id is not null").distinct()
+    k = id_order(F.col("id"))
+    numbered = cut(ranged_running(ids.select("id", k["word"].alias("w"), k["digits"].alias("d")), [], ["w", "d", "id"], F.lit(1), "n").select("id", "n"))
+    of = lambda name, to: numbered.select(F.col("id").alias(name), F.col("n").alias(to))
+    e = edges.select(F.col(left).cast("string").alias("l"), F.col(right).cast("string").alias("r")).where("l <> r")
+    e = cut(both_ways(e.join(of("l", "x"), "l").join(of("r", "y"), "r"), "x", "y"))
+    tied = cut(e.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    before = None
     for _ in range(max_rounds):
-        near = e.join(tied.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        pulled = tied.join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # pointer jumping: take over the label of the vertex that the label names
-        of = pulled.select(F.col("id").alias("at"), F.col("label").alias("far"))
-        nxt = cut(pulled.withColumn("at", F.col("label.id")).join(of, "at", "left").select("id", "was", F.least("label", F.coalesce("far", "label")).alias("label")))
-        still = nxt.where("was <> label").limit(1).count()
-        drop_cut(tied)
-        tied = nxt.select("id", "label")
-        if not still:
+        # labels only fall, so an equal sum means that nothing changed
+        now = tied.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == before:
             break
-    return ids.join(tied.select("id", F.col("label.id").alias("label")), "id", "left").select("id", F.coalesce("label", "id").alias(out))
+        before = now
+        up = cut(tied.join(tied.select(F.col("v").alias("label"), F.col("label").alias("top")), "label"))
+        near = cut(e.join(up.select(F.col("v").alias("b"), "top"), "b").groupBy(F.col("a").alias("v")).agg(F.min("top").alias("near")))
+        # a vertex takes the least of its label's label and its neighbours'; so does the vertex that its label names
+        hooked = up.join(near, "v").select(F.col("label").alias("v"), F.col("near").alias("l"))
+        offers = up.select("v", F.least("label", "top").alias("l")).unionByName(near.select("v", F.col("near").alias("l"))).unionByName(hooked)
+        nxt = cut(offers.groupBy("v").agg(F.min("l").alias("label")))
+        for old in (tied, up, near):
+            drop_cut(old)
+        tied = nxt
+    names = tied.join(of("name", "label"), "label").select(F.col("v").alias("n"), "name")
+    return numbered.join(names, "n", "left").select("id", F.coalesce("name", "id").alias(out))

@@ -24,13 +24,13 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams of blank-padded words; a padded word shorter than n is one term for each n it falls short of."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
 
+    def pieces(p: Column, n: int) -> Column:
+        whole = F.array(p) if n == low else F.when(F.length(p) == n, F.array(p)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.length(p) > n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(p) - n + 1)), lambda i: p.substr(i, F.lit(n)))).otherwise(whole)
+
     def grams(word: Column) -> Column:
-        p = F.concat(F.lit(" "), word, F.lit(" "))
-        parts = [
-            F.when(F.length(p) > n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(p) - n + 1)), lambda i, n=n: p.substr(i, F.lit(n)))).otherwise(F.array(p) if n == low else F.when(F.length(p) == n, F.array(p)).otherwise(F.array().cast("array<string>")))
-            for n in range(low, high + 1)
-        ]
-        return F.concat(*parts)
+        padded = F.concat(F.lit(" "), word, F.lit(" "))
+        return F.concat(*[pieces(padded, n) for n in range(low, high + 1)])
 
     return F.flatten(F.transform(words, grams))
 

@@ -99,7 +99,8 @@ def temporal_split(threads: DataFrame, key: str, at: str, ratios: tuple[float, f
 
     ids = threads.select(F.col(key), F.col(at).alias("_at"))
     n = ids.count()
-    a, b = int(n * ratios[0]), int(n * (ratios[0] + ratios[1]))
+    a = int(n * ratios[0])
+    b = a + int(n * ratios[1])
     r = ranged_running(ids, [], [("_at", "asc_nulls_last"), (key, "asc")], F.lit(1), "_r")
     return r.select(key, F.when(F.col("_r") <= a, "train").when(F.col("_r") <= b, "dev").otherwise("test").alias("split"))
 

@@ -165,7 +165,7 @@ def q_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the table of labels is as large as the taxonomy
     s = e.select("vec_id", "embedding").crossJoin(p.select("label", vectors.l2_normalize(F.col("v")).alias("v")))
     best = s.select("vec_id", F.struct(F.round(vectors.dot(F.col("embedding"), F.col("v")), 6).alias("score"), F.col("label")).alias("c")).groupBy("vec_id").agg(vectors.top_two(F.collect_list("c")).alias("t"))
-    return best.select("vec_id", F.col("t.best.label").alias("best"), F.col("t.second.label").alias("second"), F.round("t.margin", 4).alias("margin"))
+    return best.select("vec_id", F.col("t.best.label").alias("best"), F.col("t.second.label").alias("second"), F.round("t.margin", 3).alias("margin"))
 
 
 def q_tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +184,10 @@ def q_tfidf_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different customer texts of the retrieval corpus with a cosine of at least 0.8 over words."""
-    g = table(spark, sf_dir, "retrieval_corpus").select("customer_tweet_id", text.duplicate_key(F.col("customer_raw_text")).alias("t")).groupBy("t").agg(F.min("customer_tweet_id").alias("id"))
+    """Pairs of different golden and retrieval messages with a cosine of at least 0.8 over words."""
+    r = table(spark, sf_dir, "retrieval_corpus").select(F.concat(F.lit("c"), "customer_tweet_id").alias("i"), F.col("customer_raw_text").alias("m"))
+    g = r.unionByName(table(spark, sf_dir, "golden_set").select(F.concat(F.lit("g"), "example_id").alias("i"), F.col("customer_message").alias("m")))
+    g = g.groupBy(text.duplicate_key(F.col("m")).alias("t")).agg(F.min("i").alias("id"))
     w = tfidf.weights(g, "id", tfidf.word_terms(F.col("t"), bigrams=False))
     return tfidf.similar_pairs(w, "id", 0.8).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
@@ -228,7 +230,7 @@ QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _SP = r"[\s\p{Z}\x1c-\x1f\x{85}]+"
 _WS = rf"regexp_replace(regexp_replace(coalesce({{c}}, ''), '{_SP.replace('{', '{{').replace('}', '}}')}', ' ', 'g'), '^ | $', '', 'g')"
-_NO_LINKS = r"regexp_replace(customer_raw_text, '(?i)https?://\S+|www\.\S+|@\w+', ' ', 'g')"
+_NO_LINKS = r"regexp_replace(m, '(?i)https?://\S+|www\.\S+|@\w+', ' ', 'g')"
 _L = """l as (select o_orderkey, o_orderstatus as actual, case when o_orderpriority < '2' then 'F' when o_totalprice > 150000 then 'O' else 'P' end as predicted, o_totalprice / 500000 as confidence from orders), labels as (select unnest(['F','O','P','X']) as label)"""
 _J = "j as (select distinct example_id, dimension, human_score, judge_score from human_judge_largest_disagreements)"
 _CS = """a as (select actual as label, count(*) as support, count(*) filter (where actual = predicted) as tp from l group by 1), p as (select predicted as label, count(*) as said from l group by 1),
@@ -276,13 +278,14 @@ select id as doc_id, cast(rank as integer) as rank, term, round(weight, 6) as we
     "q_tfidf_nearest": rf"""with src as (select 'c' || customer_tweet_id as id, min(customer_raw_text) as t from retrieval_corpus group by 1 union all select 'q' || example_id, customer_message from golden_set where try_cast(regexp_extract(example_id, '(\d+)$', 1) as integer) % 50 = 0), {_TF.replace('{min_df}', '1')},
 s as (select a.id as query, b.id as match, sum(a.weight * b.weight) as similarity from wt a join wt b using (term) where a.id like 'q%' and b.id like 'c%' group by 1, 2)
 select query, match, round(similarity, 6) as similarity from s qualify row_number() over (partition by query order by round(similarity, 9) desc, match) = 1""",
-    "q_near_duplicates": f"""with k as (select customer_tweet_id, lower({_WS.format(c=_NO_LINKS)}) as t from retrieval_corpus), src as (select t, min(customer_tweet_id) as id from k group by t), {_TF.replace('{min_df}', '1')},
+    "q_near_duplicates": f"""with r as (select 'c' || customer_tweet_id as i, customer_raw_text as m from retrieval_corpus union all select 'g' || example_id, customer_message from golden_set),
+k as (select i, lower({_WS.format(c=_NO_LINKS)}) as t from r), src as (select t, min(i) as id from k group by t), {_TF.replace('{min_df}', '1')},
 s as (select a.id as left_id, b.id as right_id, sum(a.weight * b.weight) as similarity from wt a join wt b using (term) where a.id < b.id group by 1, 2)
 select left_id, right_id, round(similarity, 6) as similarity from s where similarity >= 0.8""",
     "q_prototypes": """with x as (select vec_id, label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, i, avg(x) as x from x group by 1, 2),
 n as (select label, sqrt(sum(x * x)) as n from m group by 1), s as (select x.vec_id, m.label, round(sum(x.x * m.x / n.n), 6) as score from x join m using (i) join n on n.label = m.label group by 1, 2),
 r as (select *, row_number() over (partition by vec_id order by score desc, label) as r from s)
-select a.vec_id, a.label as best, b.label as second, round(a.score - b.score, 4) as margin from r a join r b on a.vec_id = b.vec_id and a.r = 1 and b.r = 2""",
+select a.vec_id, a.label as best, b.label as second, round(a.score - b.score, 3) as margin from r a join r b on a.vec_id = b.vec_id and a.r = 1 and b.r = 2""",
     "q_json_props": "select event_type, cast(json_extract(props, '$.k') as integer) as k, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2",
     "q_sessions": """with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as f from events), s as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) as s from e)
 select user_id, cast(floor(epoch(min(ts))) as bigint) as start_s, cast(floor(epoch(max(ts) + interval 30 minute)) as bigint) as end_s, count(*) as events from s group by user_id, s""",

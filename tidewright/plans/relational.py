@@ -329,7 +329,7 @@ r as (select id as src, id from v union select r.src, e.b from r join e on e.a =
 select src as id, cast(min(cast(id as bigint)) as varchar) as component from r group by src""",
     "q_temporal_split": """with t as (select thread_id, max(split_time) as st from train_conversations group by thread_id),
 r as (select thread_id, row_number() over (order by st asc nulls last, thread_id) as r, count(*) over () as n from t)
-select thread_id, case when r <= floor(n * 0.7) then 'train' when r <= floor(n * 0.85) then 'dev' else 'test' end as split from r""",
+select thread_id, case when r <= floor(n * 0.7) then 'train' when r <= floor(n * 0.7) + floor(n * 0.15) then 'dev' else 'test' end as split from r""",
     "q_split_overlap": """with a as (select distinct thread_id from retrieval_corpus), b as (select distinct thread_id from train_conversations)
 select (select count(*) from a) as n_left, (select count(*) from b) as n_right, (select count(*) from a where thread_id in (select * from b)) as n_both,
   (select count(*) from a where thread_id not in (select * from b)) as only_left, (select count(*) from b where thread_id not in (select * from a)) as only_right,
