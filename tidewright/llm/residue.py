@@ -40,7 +40,7 @@ PLACEHOLDERS = [
 
 # Printed empty values in a place where a value belongs.
 EMPTY = [
-    ("whole", r"(?i)^[\s\"'(\[]*(?:null|none|nil|nan|undefined|n/?a|void|empty|tbd|todo|fixme|-+|\.+|\?+|\[object object\]|\(?null\)?|<null>|\{\}|\[\])(?:[\s.,!;]+(?:null|none|nan|undefined))*[\s\"')\].!]*(?:\([^)]{0,20}\)\s*)?$"),
+    ("whole", r"(?i)^[\s\"'(\[]*(?:null|none|nil|nan|undefined|n/?a|void|empty|tbd|todo|fixme|-+|\.+|\?+|\[object object\]|\(?null\)?|<null>|\{\}|\[\])(?:[\s.,!;]+(?:null|none|nan|undefined)){0,20}[\s\"')\].!]*(?:\([^)]{0,20}\)\s*)?$"),
     ("object", r"\[object [A-Z]\w+\]"),
     ("greeting", r"(?i)\b(?:dear|hi|hello|hallo|hola|bonjour|hey|olá|liebe[r]?|sehr geehrte[r]?|estimad[oa]|cher|chère)\s+(?:undefined|null|none|nan|nil|n/a)\b"),
     ("value", r"\b(?:is|was|are|of|by|in|for|to|at|on|with|order|number|your)\s+(?:NaN|undefined|null|None)\b(?=[\s.,;!?]|$)(?!\s+(?:pointer|colou?rs?|values?|of|and|or))|\bundefined undefined\b|\bNaN\s+(?:days?|hours?|minutes?|euros?|%)"),
@@ -52,14 +52,15 @@ FILLER = [
     ("note", r"(?-i)\b(?:TODO|FIXME|TBD|TBC|XXX)\b(?!\s+(?:list|app|board)\b)|(?i:^\s*(?:todo|fixme)\s*:)"),
     ("goes_here", r"(?i)\b(?:text|message|answer|reply|response|content|draft|greeting|name|comment)s?\s+goes? here\b|\b(?:put|insert|add|enter|write|type|paste)\s+(?:the |your |an? )?(?:\w+ ){0,2}here\b"),
     ("replace", r"(?i)\breplace this (?:text|message|paragraph|line)\b|\b(?:this is )?an? (?:placeholder|sample|dummy|example) (?:answer|text|reply|message|response)\b|\bfor testing purposes only\b|\btexte de remplacement\b|\btexto de (?:ejemplo|relleno)\b|\btexto de exemplo\b"),
-    ("whole", r"(?i)^[\s\[(<]*(?:(?:sample|placeholder|dummy|example|test|answer|reply|response|draft|blank|filler|your)\s+)*(?:text|answer|reply|response|draft|sample|placeholder|message|test|content|write answer|write reply)[\s.\])>!]*(?:(?:number |no\.? ?|#)?\d+[\s.]*)?(?:here[\s.]*)?$"),
+    ("whole", r"(?i)^[\s\[(<]*(?:(?:sample|placeholder|dummy|example|test|answer|reply|response|draft|blank|filler|your)\s+){0,9}(?:text|answer|reply|response|draft|sample|placeholder|message|test|content|write answer|write reply)[\s.\])>!]*(?:(?:number |no\.? ?|#)?\d+[\s.]*)?(?:here[\s.]*)?$"),
     ("blind", r"(?i)\b(?:blindtext|mustertext|platzhaltertext|fülltext)\b"),
-    ("keys", r"(?i)^\s*(?:([a-z]{3,5})(?:\s+\1){1,}|([a-z])\2{4,}|(?:asdf|qwer|qwerty|hjkl|jkl|test|foo|bar|blah|bla|xyz|abc)(?:[\s,.]+(?:asdf|qwer|qwerty|hjkl|jkl|test|foo|bar|blah|bla|xyz|abc|\d+))+)[\s.!]*$"),
-    ("repeat", r"(?i)^\s*(\p{L}{2,12})(?:[\s,]+\1){3,}[\s.!]*$"),
     ("prompt", r"(?m)^\s*#{2,}\s*(?:Response|Answer|Instruction|Assistant|Reply|Input|Output)\s*:?\s*$|<\|(?:im_start|im_end|endoftext|assistant|user|system)\|>|\[/?INST\]"),
     ("model", r"(?i)\bas an ai (?:language )?model\b|\bthis model is currently overloaded\b"),
 ]
 
+# Words that nothing but hammering on the keys gives.
+HAMMERED = "asdf asdfg asdfgh qwer qwerty qwertz hjkl jkl test foo bar baz blah bla xyz abc".split()
+
 # Output of failing programs and servers.
 ERRORS = [
     ("traceback", r"Traceback \(most recent call last\)|(?m)^\s*File \"[^\"]+\", line \d+|^\s*at [\w$.]+\([\w.]+:\d+\)|\b(?:Key|Value|Type|Attribute|Index|Runtime|Name|Import|Reference|Syntax|Range|Null\w*)(?:Error|Exception)\s*:"),
@@ -96,6 +97,17 @@ def _sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
 
 
+def _hammered(text: Column) -> Column:
+    """One word over and over, one letter over and over, or nothing but hammered words. No regular expression repeats
+    a group here, as the JVM's would recurse once a word of a long text."""
+    words = F.filter(F.split(F.lower(text), r"[\s,.!]+"), lambda w: w != "")
+    kinds = F.array_distinct(words)
+    again = (F.size(kinds) == 1) & (F.size(words) >= 3) & F.forall(kinds, lambda w: w.rlike(r"^\p{L}{2,12}$")) & ((F.size(words) >= 4) | F.forall(kinds, lambda w: w.rlike("^[a-z]{3,5}$")))
+    letter = (F.size(words) == 1) & F.forall(kinds, lambda w: (F.length(w) >= 5) & w.rlike("^[a-z]") & (F.replace(w, F.substring(w, 1, 1), F.lit("")) == ""))
+    keys = (F.size(words) >= 2) & F.forall(kinds, lambda w: w.isin(HAMMERED) | w.rlike("^[0-9]{1,6}$")) & F.exists(kinds, lambda w: w.isin(HAMMERED))
+    return again | letter | keys
+
+
 def residue_kinds(text: Column) -> Column:
     """Sorted names of all kinds found in a text, empty for none; null and empty texts have none."""
     whole = F.trim(F.coalesce(text, F.lit("")))
@@ -108,7 +120,8 @@ def residue_kinds(text: Column) -> Column:
     for name, p in EMPTY:
         found.append(F.when((whole if name == "whole" else loose).rlike(p), F.lit(f"empty:{name}")))
     for name, p in FILLER:
-        found.append(F.when((whole if name in ("whole", "keys", "repeat", "prompt") else plain).rlike(p), F.lit(f"filler:{name}")))
+        found.append(F.when((whole if name in ("whole", "prompt") else plain).rlike(p), F.lit(f"filler:{name}")))
+    found.append(F.when(_hammered(whole), F.lit("filler:keys")))
     for name, p in ERRORS:
         found.append(F.when((plain if name not in ("json", "markup", "traceback", "status", "server") else whole).rlike(p), F.lit(f"error:{name}")))
     for name, p in SCRIPTS:
