@@ -53,7 +53,7 @@ def demands(sizes: DataFrame, weights: DataFrame, total_tokens: float | None = N
 def arrival(used: Column, slope: Column) -> Column:
     """The time t at which the part `used` of a source's demand is reached: the inverse of t + slope * t * (1 - t)."""
     b = 1 + slope
-    return 2 * used / (b + F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * slope * used)))
+    return F.coalesce(F.try_divide(2 * used, b + F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * slope * used))), F.lit(0.0))
 
 
 def mix(docs: DataFrame, weights: DataFrame, total_tokens: float | None = None, seed: int = 7, ramp: float = 0.5) -> tuple[DataFrame, DataFrame]:
