@@ -244,7 +244,7 @@ nrm as (select id, sqrt(sum(w * w)) as n from raw group by 1), wt as (select id,
 
 ORACLE = {
     "q_text_metadata": rf"""with d as (select doc_id, {_WS.format(c='text')} as n from documents)
-select doc_id, len(regexp_extract_all(n, '(?i)https?://\S+|www\.\S+')) as url_count, length(n) as character_count, case when n = '' then 0 else len(string_split(n, ' ')) end as token_count,
+select doc_id, cast(len(regexp_extract_all(n, '(?i)https?://\S+|www\.\S+')) as integer) as url_count, cast(length(n) as integer) as character_count, cast(case when n = '' then 0 else len(string_split(n, ' ')) end as integer) as token_count,
 regexp_matches(n, '[\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}]') as emoji_present, contains(n, '?') as question_present from d""",
     "q_rule_labels": f"""with r as (select example_id, list_filter([{_RULE_CASES}], lambda x: x is not null) as v from golden_set)
 select example_id, array_to_string(case when list_contains(v, 'courier') then list_filter(v, lambda x: x <> 'delivery') else v end, ',') as labels from r""",

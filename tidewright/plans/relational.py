@@ -299,7 +299,7 @@ from m join p on m.parent = p.tweet_id where m.role = 'AGENT'""",
     "q_contaminated": """with t as (select distinct thread_id, language, turn_count from train_conversations)
 select * from t where not exists (select 1 from t x where x.thread_id = t.thread_id and coalesce(x.language = 'und', true))""",
     "q_turns": f"""with {SQL_MESSAGES}
-select parent, tweet_id, row_number() over (partition by parent order by ts asc nulls last, tweet_id) as turn_number from m where parent is not null""",
+select parent, tweet_id, cast(row_number() over (partition by parent order by ts asc nulls last, tweet_id) as integer) as turn_number from m where parent is not null""",
     "q_gaps": f"""with {SQL_MESSAGES},
 g as (select author, (epoch_us(ts) - epoch_us(lag(ts) over (partition by author order by ts, tweet_id))) / 86400000000.0 as g from m where role = 'CUSTOMER' and ts is not null)
 select author, round(coalesce(max(g), 0.0), 6) as gap_days, coalesce(max(g), 0.0) > 30 as temporal_gap_anomaly from g group by author""",
