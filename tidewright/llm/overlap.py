@@ -43,7 +43,7 @@ def _numbered(w: Column) -> Column:
 
 
 #: Classes of a block of each side; together they bound a task's memory.
-EVAL_BLOCK, TRAIN_BLOCK = 8_000, 30_000
+EVAL_BLOCK, TRAIN_BLOCK = 16_000, 60_000
 #: How many of the first terms two near vectors must share at most (l above).
 SHARED = 8
 
@@ -72,7 +72,10 @@ def overlaps(eval_records: DataFrame, train_records: DataFrame, least: tuple[int
     vectors = tall.join(freq, "term").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("term").alias("h")))).alias("v"))
     vectors = cut(vectors.join(classes.select("cls", "e", "t"), "cls").select("cls", "e", "t", F.transform("v", lambda x: x["h"]).alias("v")))
     n_e, n_t = vectors.agg(F.count_if("e"), F.count_if("t")).first()
-    b_e, b_t = max(1, -(-(n_e or 0) // EVAL_BLOCK)), max(1, -(-(n_t or 0) // TRAIN_BLOCK))
+    b_t = max(1, -(-(n_t or 0) // TRAIN_BLOCK))
+    # smaller evaluation blocks where fewer than two tasks a core would come out
+    busy = -(-2 * classes.sparkSession.sparkContext.defaultParallelism // b_t)
+    b_e = max(1, -(-(n_e or 0) // EVAL_BLOCK), min(-(-(n_e or 0) // 1_000), busy))
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     ev = vectors.where("e").select(F.pmod(F.xxhash64(F.lit(1), "cls"), F.lit(b_e)).cast("int").alias("eb"), copies(b_t).alias("tb"), "cls", "v")
     tv = vectors.where("t").select(copies(b_e).alias("eb"), F.pmod(F.xxhash64(F.lit(2), "cls"), F.lit(b_t)).cast("int").alias("tb"), "cls", "v")
