@@ -108,12 +108,21 @@ def _hammered(text: Column) -> Column:
     return again | letter | keys
 
 
-def residue_kinds(text: Column) -> Column:
-    """Sorted names of all kinds found in a text, empty for none; null and empty texts have none."""
+def _forms(text: Column) -> Column:
+    """A text as the rules read it: trimmed; without code and quotes; of that, the sentences that explain nothing."""
     whole = F.trim(F.coalesce(text, F.lit("")))
     loose = _without_code(whole)
-    # sentences that explain are left out; what is left is searched
     plain = F.array_join(F.filter(_sentences(loose), lambda s: ~s.rlike(_EXPLAINS)), "\n")
+    return F.struct(whole.alias("whole"), loose.alias("loose"), plain.alias("plain"))
+
+
+def residue_kinds(text: Column) -> Column:
+    """Sorted names of all kinds found in a text, empty for none; null and empty texts have none."""
+    return _kinds(_forms(text))
+
+
+def _kinds(forms: Column) -> Column:
+    whole, loose, plain = forms["whole"], forms["loose"], forms["plain"]
     found = []
     for name, p in PLACEHOLDERS:
         found.append(F.when(loose.rlike(p), F.lit(f"placeholder:{name}")))
@@ -143,7 +152,9 @@ def find_residue(df: DataFrame, key: str, text: str) -> DataFrame:
     either. Repeated rows count once; other columns play no part; an empty table gives no rows.
     """
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length(F.trim("_t")) > 0).distinct()
-    return rows.select(F.col("_k").alias(key), residue_kinds(F.col("_t")).alias("kinds")).where("size(kinds) > 0")
+    # a generator over one element keeps what is below it from being worked out once a use
+    forms = rows.select("_k", F.explode(F.array(_forms(F.col("_t")))).alias("f"))
+    return forms.select(F.col("_k").alias(key), F.explode(F.array(_kinds(F.col("f")))).alias("kinds")).where("size(kinds) > 0")
 
 
 def exclude_residue(df: DataFrame, text: str) -> DataFrame:
