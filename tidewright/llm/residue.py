@@ -54,7 +54,7 @@ FILLER = [
     ("replace", r"(?i)\breplace this (?:text|message|paragraph|line)\b|\b(?:this is )?an? (?:placeholder|sample|dummy|example) (?:answer|text|reply|message|response)\b|\bfor testing purposes only\b|\btexte de remplacement\b|\btexto de (?:ejemplo|relleno)\b|\btexto de exemplo\b"),
     ("whole", r"(?i)^[\s\[(<]*(?:(?:sample|placeholder|dummy|example|test|answer|reply|response|draft|blank|filler|your)\s+){0,9}(?:text|answer|reply|response|draft|sample|placeholder|message|test|content|write answer|write reply)[\s.\])>!]*(?:(?:number |no\.? ?|#)?\d+[\s.]*)?(?:here[\s.]*)?$"),
     ("blind", r"(?i)\b(?:blindtext|mustertext|platzhaltertext|fülltext)\b"),
-    ("prompt", r"(?m)^\s*#{2,}\s*(?:Response|Answer|Instruction|Assistant|Reply|Input|Output)\s*:?\s*$|<\|(?:im_start|im_end|endoftext|assistant|user|system)\|>|\[/?INST\]"),
+    ("prompt", r"(?m)^[ \t]*#{2,}[ \t]*(?:Response|Answer|Instruction|Assistant|Reply|Input|Output)\s*:?\s*$|<\|(?:im_start|im_end|endoftext|assistant|user|system)\|>|\[/?INST\]"),
     ("model", r"(?i)\bas an ai (?:language )?model\b|\bthis model is currently overloaded\b"),
 ]
 
@@ -63,10 +63,10 @@ HAMMERED = "asdf asdfg asdfgh qwer qwerty qwertz hjkl jkl test foo bar baz blah
 
 # Output of failing programs and servers.
 ERRORS = [
-    ("traceback", r"Traceback \(most recent call last\)|(?m)^\s*File \"[^\"]+\", line \d+|^\s*at [\w$.]+\([\w.]+:\d+\)|\b(?:Key|Value|Type|Attribute|Index|Runtime|Name|Import|Reference|Syntax|Range|Null\w*)(?:Error|Exception)\s*:"),
+    ("traceback", r"Traceback \(most recent call last\)|(?m)^[ \t]*File \"[^\"]+\", line \d+|^[ \t]*at [\w$.]+\([\w.]+:\d+\)|\b(?:Key|Value|Type|Attribute|Index|Runtime|Name|Import|Reference|Syntax|Range|Null\w*)(?:Error|Exception)\s*:"),
     ("json", r"(?s)^\s*\{\s*\"(?:error|errors|status|code|message|detail)\"\s*:.*\}\s*$"),
     ("markup", r"(?is)<(?:!doctype html|html|head|title|body|h1|center|noscript)\b[^>]*>"),
-    ("status", r"(?i)^\s*(?:(?:http(?:/\d(?:\.\d)?)?\s*)?(?:error|fehler|erreur|status|code)?\s*[:#]?\s*)[45]\d\d\b[\s:,.-]*(?:[A-Z][\w -]{2,40})?[\s.!]*$|\[error [45]\d\d\]|\bHTTP Error [45]\d\d: [A-Z]|(?i)\b(?:not found|internal server error|bad gateway|service unavailable|forbidden|gateway time-?out|too many requests)\s*\([45]\d\d\)|\((?:Fehler|error|erreur|código|codice) [45]\d\d\)"),
+    ("status", r"(?i)^\s*+(?:http(?:/\d(?:\.\d)?)?[ \t]{0,3})?(?:error|fehler|erreur|status|code)?[ \t]{0,3}[:#]?[ \t]{0,3}[45]\d\d\b[\s:,.-]*(?:[A-Z][\w -]{2,40})?[\s.!]*$|\[error [45]\d\d\]|\bHTTP Error [45]\d\d: [A-Z]|(?i)\b(?:not found|internal server error|bad gateway|service unavailable|forbidden|gateway time-?out|too many requests)\s*\([45]\d\d\)|\((?:Fehler|error|erreur|código|codice) [45]\d\d\)"),
     ("server", r"(?i)^\s*(?:internal server error|bad gateway|service unavailable|gateway time-?out|forbidden|not found|too many requests|access denied|erreur interne du serveur|interner serverfehler|error interno del servidor|erro interno do servidor)\b[\s.!]*(?:\([^)]{0,40}\))?"),
     ("backend", r"(?i)\bupstream connect error\b|\bdisconnect/reset before headers\b|\b(?:request|connection|query) timed out after \d+|\bno response from backend\b|\binternal error while\b|\bunexpected token .{1,3} in json\b|\bnull pointer\b|\bsegmentation fault\b|\bstack overflow at\b|\bECONN(?:REFUSED|RESET)\b|\bconnection refused\b|\bout of memory\b"),
     ("page", r"(?i)\bthe (?:page|resource|url|document) you (?:requested|are looking for|tried)\b.{0,30}\b(?:not|could|cannot|can't|does)\b|\bdie angeforderte seite\b|\bp[áa]gina no encontrada\b|\bpage (?:introuvable|non trouvée)\b|\bpágina não encontrada\b|\byou don'?t have permission to (?:view|access)\b|\bthe site is down for maintenance\b|\bsomething went wrong on our (?:end|side)\b"),
