@@ -96,6 +96,12 @@ def duplicate_key(c: Column) -> Column:
     return collapse(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)https?://\S+|www\.\S+|@\w+", " ")))
 
 
+def audit_key(c: Column) -> Column:
+    """The key of the near-duplicate audit: case folded, without http links and @-names, white space collapsed."""
+    folded = F.lower(F.upper(F.coalesce(c, F.lit(""))))
+    return collapse(F.regexp_replace(folded, r"(?U)https?://\S+|@\w+", " "))
+
+
 def response_key(c: Column) -> Column:
     return F.lower(collapse(c))
 

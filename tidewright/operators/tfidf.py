@@ -5,9 +5,15 @@ Terms are counted over all documents; scores come from inverted lists, so that p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, workers_import
+
 
 def word_terms(text: Column, bigrams: bool = True, stop: list[str] | None = None) -> Column:
     """Small-letter words of two letters or digits or more and, if asked, pairs of neighbours."""
@@ -74,6 +80,97 @@ def similar_pairs(w: DataFrame, key: str, threshold: float) -> DataFrame:
     return s.where(F.col("similarity") >= threshold)
 
 
+def close_pairs(docs: DataFrame, key: str, terms: Column, threshold: float, sublinear: bool = False, block: int = 4096, dense: int = 2048) -> DataFrame:
+    """(a, b, similarity): every pair of different keys with a cosine of at least threshold > 0, each pair once.
+
+    For terms that most texts share, as pieces of words, where inverted lists would let nearly all pairs meet. Texts
+    become vectors of term numbers; blocks of `block` vectors are sent to the tasks, and each scans the blocks from its
+    own on: the `dense` most frequent terms as a matrix product, the others by the block's inverted lists. What comes
+    within 0.001 of the threshold is worked out again in double precision. Keys are unique; texts without terms have
+    no pairs. The driver holds the vocabulary of terms of two texts or more, and one block at a time.
+    """
+    spark = docs.sparkSession
+    workers_import(spark)
+    n = docs.count()
+    rows = docs.select(F.col(key).alias("k"), terms.alias("terms"))
+    df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    known = df.where("df > 1").orderBy(F.desc("df"), "term").toPandas()
+    # terms of one text count in its length only; they all have the same weight
+    single = np.log((1.0 + n) / 2.0) + 1.0
+    idf = np.log((1.0 + n) / (1.0 + known["df"].to_numpy(dtype=float))) + 1.0
+    shared = spark.sparkContext.broadcast((dict(zip(known["term"], range(len(known)), strict=True)), idf))
+
+    def vectorize(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, weight = shared.value
+        for pdf in parts:
+            js, xs = [], []
+            for ts in pdf["terms"]:
+                tf: dict[str, int] = {}
+                for t in ts:
+                    tf[t] = tf.get(t, 0) + 1
+                scale = (lambda c: 1.0 + np.log(c)) if sublinear else (lambda c: c)
+                alone = sum((scale(c) * single) ** 2 for t, c in tf.items() if t not in number)
+                pairs = sorted((number[t], float(scale(c))) for t, c in tf.items() if t in number)
+                j = np.array([p[0] for p in pairs], dtype=np.int32)
+                x = np.array([p[1] for p in pairs]) * weight[j]
+                js.append(j)
+                xs.append(x / np.sqrt(max(alone + float(x @ x), 1e-300)))
+            yield pd.DataFrame({"k": pdf["k"].to_numpy(), "b": pdf["b"].to_numpy(), "j": js, "x": xs})
+
+    kind = dict(docs.dtypes)[key]
+    blocks = max(1, -(-n // block))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    vectors = cut(rows.mapInPandas(vectorize, f"k {kind}, b int, j array<int>, x array<double>").where("size(j) > 0"))
+    width, out = min(dense, len(known)), None
+
+    def matrix(js: list, xs: list) -> np.ndarray:
+        m = np.zeros((len(js), width), np.float32)
+        for i, (j, x) in enumerate(zip(js, xs, strict=True)):
+            c = int(np.searchsorted(j, width))
+            m[i, j[:c]] = x[:c]
+        return m
+
+    for at in range(blocks):
+        part = vectors.where(F.col("b") == at).toPandas()
+        if part.empty:
+            continue
+        sent = spark.sparkContext.broadcast((part["k"].tolist(), [np.asarray(j) for j in part["j"]], [np.asarray(x) for x in part["x"]]))
+
+        def scan(batches: Iterator[pd.DataFrame], sent=sent, at=at) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            ks, js, xs = sent.value
+            m = matrix(js, xs)
+            rare = [int(np.searchsorted(j, width)) for j in js]
+            term = np.concatenate([j[c:] for j, c in zip(js, rare, strict=True)])
+            order = np.argsort(term, kind="stable")
+            term = term[order]
+            doc = np.repeat(np.arange(len(js)), [len(j) - c for j, c in zip(js, rare, strict=True)])[order]
+            value = np.concatenate([x[c:] for x, c in zip(xs, rare, strict=True)])[order]
+            for pdf in batches:
+                for begin in range(0, len(pdf), 512):
+                    piece = pdf.iloc[begin : begin + 512]
+                    scores = matrix(piece["j"], piece["x"]) @ m.T
+                    found = []
+                    for i, (k, b, j, x) in enumerate(zip(piece["k"], piece["b"], piece["j"], piece["x"], strict=True)):
+                        c = int(np.searchsorted(j, width))
+                        lo, hi = np.searchsorted(term, j[c:]), np.searchsorted(term, j[c:], side="right")
+                        size = hi - lo
+                        spots = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+                        s = scores[i] + np.bincount(doc[spots], value[spots] * np.repeat(x[c:], size), len(js))
+                        for r in np.flatnonzero(s >= threshold - 1e-3):
+                            if b == at and not ks[r] < k:
+                                continue  # within the block each pair meets twice
+                            _, p, q = np.intersect1d(js[r], j, assume_unique=True, return_indices=True)
+                            exact = float(xs[r][p] @ x[q])
+                            if exact >= threshold - 1e-12:
+                                found.append((ks[r], k, exact))
+                    if found:
+                        yield pd.DataFrame(found, columns=["a", "b", "similarity"])
+
+        r = vectors.where(F.col("b") >= at).mapInPandas(scan, f"a {kind}, b {kind}, similarity double")
+        out = r if out is None else out.unionByName(r)
+    return out if out is not None else spark.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+
+
 def nearest_by_terms(queries: DataFrame, corpus: DataFrame, q_key: str, c_key: str, k: int = 1) -> DataFrame:
     """(q_key, c_key, similarity, rank) of the best corpus rows for each query by common terms, ties by the smaller id."""
     s = queries.select(F.col(q_key), "term", F.col("weight").alias("wa")).join(corpus.select(F.col(c_key), "term", F.col("weight").alias("wb")), "term").groupBy(q_key, c_key).agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))

@@ -192,6 +192,38 @@ def q_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.similar_pairs(w, "id", 0.8).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, t) of every golden and retrieval message, t being its normalized text; repeated rows count once."""
+    r = table(spark, sf_dir, "retrieval_corpus").select(F.concat(F.lit("c"), "customer_tweet_id").alias("id"), F.col("customer_raw_text").alias("m"))
+    g = r.unionByName(table(spark, sf_dir, "golden_set").select(F.concat(F.lit("g"), "example_id").alias("id"), F.col("customer_message").alias("m")))
+    return g.select("id", text.audit_key(F.col("m")).alias("t")).distinct()
+
+
+def _classes(audited: DataFrame) -> DataFrame:
+    return audited.groupBy("t").agg(F.min("id").alias("class_id"))
+
+
+def q_near_duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of golden and retrieval messages with a cosine of at least 0.35 over pieces of 3 to 5 characters.
+
+    Messages of the same normalized text form a class, named by its smallest id. The pairs are those of the classes
+    (exact false) and, for every further member, that of its class and itself (exact true). Empty texts have no pairs.
+    """
+    audited = _audited(spark, sf_dir)
+    classes = _classes(audited)
+    near = tfidf.close_pairs(classes.select("t"), "t", tfidf.char_terms(F.col("t"), 3, 5), 0.35)
+    near = near.join(classes.toDF("a", "x"), "a").join(classes.toDF("b", "y"), "b").where("x <> y")
+    pairs = near.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), F.round("similarity", 6).alias("similarity"), F.lit(False).alias("exact"))
+    members = audited.join(classes, "t").where("id <> class_id and t <> ''")
+    return pairs.unionByName(members.select(F.col("class_id").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("similarity"), F.lit(True).alias("exact")))
+
+
+def q_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, class_id) of every golden and retrieval message: its class of equal normalized texts."""
+    audited = _audited(spark, sf_dir)
+    return audited.join(_classes(audited), "t").select("id", "class_id")
+
+
 def q_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean value of events by type and the number k in their properties."""
     e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k int")["k"])
