@@ -4,6 +4,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.test_llm import found, tweets
+from tidewright.llm import conversations
 from tidewright.operators import tfidf
 from tidewright.plans import analytics
 
@@ -51,3 +53,19 @@ def test_near_duplicate_audit(spark, tmp_path):
     assert got == {("c1", "c3", False), ("c1", "c2", True), ("c1", "g9", True)}
     classes = {tuple(r) for r in analytics.q_duplicate_classes(spark, str(tmp_path)).select("id", "class_id").collect()}
     assert classes == {("c1", "c1"), ("c2", "c1"), ("g9", "c1"), ("c3", "c3"), ("c4", "c4"), ("c5", "c5"), ("c6", "c5")}
+
+
+def test_inferred_links_are_chosen_by_score(spark):
+    rows = [
+        ("1", "77", 0, "my router smells burnt", None, None),  # an opening without @
+        ("2", "Acme", 1, "@77 which router smells", None, None),
+        ("3", "Acme", 2, "@77 your lamp comes tomorrow", "900", None),
+        ("4", "77", 3, "thanks, the router smells burnt @Acme", None, None),  # shares its words with 2, not with the latest one
+        ("20", "88", 5, "nothing came", None, None), ("21", "Acme", 6, "@88 sorry", None, None), ("22", "88", 7, "sorry won't help", None, None),  # answers without @
+        ("30", "55", 3, "nothing in common", None, None),
+    ]
+    msgs = conversations.messages(tweets(spark, rows), mentions=True)
+    links = {tuple(r) for r in conversations.inferred_links(msgs).collect()}
+    assert links == {("2", "1"), ("4", "2"), ("21", "20"), ("22", "21")}
+    got = {(r[0], r[2]) for r in found(conversations.rebuild(tweets(spark, rows), infer=True))}
+    assert got == {("1", "1"), ("1", "2"), ("1", "4"), ("20", "20"), ("20", "21"), ("20", "22")}
