@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import found, tweets
+from tidewright.functions import vectors
 from tidewright.llm import conversations
 from tidewright.operators import tfidf
 from tidewright.plans import analytics
@@ -69,3 +70,26 @@ def test_inferred_links_are_chosen_by_score(spark):
     assert links == {("2", "1"), ("4", "2"), ("21", "20"), ("22", "21")}
     got = {(r[0], r[2]) for r in found(conversations.rebuild(tweets(spark, rows), infer=True))}
     assert got == {("1", "1"), ("1", "2"), ("1", "4"), ("20", "20"), ("20", "21"), ("20", "22")}
+
+
+def test_nearest_with_response_key_and_predicate(spark):
+    # a stock response holds a third of the corpus and all of the best rows
+    data = [(i, [1.0 + (i % 3 == 0) * 5 + i / 100, 1.0], "stock" if i % 3 == 0 else f"r{i % 7}", "late" if i % 2 else "lost") for i in range(90)]
+    data += [(90, [50.0, 1.0], None, None), (91, [40.0, 1.0], None, ""), (92, None, "x", "late")]
+    corpus = spark.createDataFrame(data, "corpus_id long, v array<double>, response string, intent string").repartition(5)
+    queries = spark.createDataFrame([(1, [1.0, 0.0], "late"), (2, [0.5, 1.0], None)], "query_id long, v array<double>, intent string")
+
+    def by_hand(v, intent, k, keyed):
+        rows = sorted((-(v[0] * x[0] + v[1] * x[1]), i, r) for i, x, r, w in data if x and (not intent or not w or w == intent))
+        seen, out = set(), []
+        for _, i, r in rows:
+            if not keyed or r not in seen:
+                seen.add(r)
+                out.append(i)
+        return out[:k]
+
+    for keyed in (True, False):
+        got = vectors.nearest(queries, corpus, 6, block=1, key="response" if keyed else None, predicate="intent").orderBy("query_id", "rank").collect()
+        for q, v, intent in ((1, [1.0, 0.0], "late"), (2, [0.5, 1.0], None)):
+            assert [r["corpus_id"] for r in got if r["query_id"] == q] == by_hand(v, intent, 6, keyed)
+    assert vectors.nearest(queries.limit(0), corpus, 6, key="response", predicate="intent").count() == 0

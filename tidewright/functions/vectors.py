@@ -37,26 +37,31 @@ def top_two(scores: Column) -> Column:
     return F.struct(s[0].alias("best"), s[1].alias("second"), (s[0]["score"] - s[1]["score"]).alias("margin"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "query_id", c_id: str = "corpus_id", vector: str = "v", block: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "query_id", c_id: str = "corpus_id", vector: str = "v", block: int = 4096, key: str | None = None, predicate: str | None = None) -> DataFrame:
     """(q_id, c_id, score): the k corpus rows of the largest dot product for every query; ties by the smaller c_id.
 
+    With `key`, a column of the corpus, only the best row of each key counts for a query, so k different keys come
+    out; a null key is a key of its own. With `predicate`, a column of both sides, a query takes only rows of its own
+    value; a null or empty value on either side fits all.
+
     The queries are a stated set, read in blocks of `block` vectors; each block scans the corpus once in Arrow
     batches as a matrix product and keeps k rows a query and batch, so that the shuffle carries k rows a query and
     task, not all pairs. Exact for every query. Null and empty vectors match nothing.
     """
     spark = corpus.sparkSession
     workers_import(spark)
-    q = queries.select(F.col(q_id).alias("q"), F.col(vector).alias("v")).where("v is not null and size(v) > 0")
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name else F.lit("")
+    q = queries.select(F.col(q_id).alias("q"), F.col(vector).alias("v"), text(predicate).alias("p")).where("v is not null and size(v) > 0")
     blocks = q.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-q.count() // block)))))
     out = None
     for b in sorted(r[0] for r in blocks.select("b").distinct().collect()):  # one number a block
-        part = blocks.where(F.col("b") == b).select("q", "v").toPandas()  # at most about `block` vectors
+        part = blocks.where(F.col("b") == b).select("q", "v", "p").toPandas()  # at most about `block` vectors
         ids = part["q"].to_numpy()
         matrix = np.vstack(part["v"].map(np.asarray).to_list()).astype(np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix))
+        shared = spark.sparkContext.broadcast((ids, matrix, part["p"].to_numpy(dtype=object)))
 
         def scan(batches, shared=shared):  # noqa: ANN001, ANN202
-            qs, m = shared.value
+            qs, m, wanted = shared.value
             for pdf in batches:
                 pdf = pdf[pdf["v"].map(lambda x: x is not None and len(x) == m.shape[1])]
                 if pdf.empty:
@@ -65,14 +70,30 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "query_id
                 order = np.argsort(c, kind="stable")
                 c = c[order]
                 scores = m @ np.vstack(pdf["v"].to_list()).astype(np.float64)[order].T
+                if key or predicate:
+                    codes = pd.factorize(pdf["g"].to_numpy(dtype=object)[order], use_na_sentinel=False)[0] if key else np.arange(len(c))
+                    has = pdf["p"].to_numpy(dtype=object)[order]
+                    picked = []
+                    for i, row in enumerate(scores):
+                        best = np.argsort(-row, kind="stable")
+                        if predicate and wanted[i] != "":
+                            best = best[(has[best] == wanted[i]) | (has[best] == "")]
+                        # the first use of a key is its best row
+                        best = best[np.sort(np.unique(codes[best], return_index=True)[1])][:k]
+                        picked.append(pd.DataFrame({"q": np.repeat(qs[i : i + 1], len(best)), "c": c[best], "score": row[best], "g": pdf["g"].to_numpy(dtype=object)[order][best]}))
+                    yield pd.concat(picked)
+                    continue
                 kk = min(k, len(c))
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :kk]
-                yield pd.DataFrame({"q": np.repeat(qs, kk), "c": c[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
+                yield pd.DataFrame({"q": np.repeat(qs, kk), "c": c[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel(), "g": None})
 
         kinds = dict(corpus.dtypes)[c_id], dict(queries.dtypes)[q_id]
-        r = corpus.select(F.col(c_id).alias("c"), F.col(vector).alias("v")).mapInPandas(scan, f"q {kinds[1]}, c {kinds[0]}, score double")
+        group = F.col(key).cast("string") if key else F.lit(None).cast("string")
+        r = corpus.select(F.col(c_id).alias("c"), F.col(vector).alias("v"), group.alias("g"), text(predicate).alias("p")).mapInPandas(scan, f"q {kinds[1]}, c {kinds[0]}, score double, g string")
         out = r if out is None else out.unionByName(r)
     if out is None:
         out = queries.select(F.col(q_id).alias("q")).join(corpus.select(F.col(c_id).alias("c")).limit(0), F.lit(True)).withColumn("score", F.lit(0.0)).limit(0)
+    if key and "g" in out.columns:
+        out = out.withColumn("of_key", F.row_number().over(Window.partitionBy("q", "g").orderBy(F.col("score").desc(), "c"))).where("of_key = 1")
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), "c")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(q_id), F.col("c").alias(c_id), "score", "rank")

@@ -157,6 +157,22 @@ def q_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("query_id", "rank", "corpus_id", F.round("score", 5).alias("score"))
 
 
+def q_topk_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest vectors of different labels of every fiftieth vector: the label stands for the response key."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    n = vectors.nearest(q, e.select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("v"), "label"), 3, key="label")
+    return n.select("query_id", "rank", "corpus_id", F.round("score", 5).alias("score"))
+
+
+def q_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of the same label of every fiftieth vector: the label stands for the intent."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"), "label")
+    n = vectors.nearest(q, e.select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("v"), "label"), 5, predicate="label")
+    return n.select("query_id", "rank", "corpus_id", F.round("score", 5).alias("score"))
+
+
 def q_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best and second label of every vector by the mean vectors of the labels, with margin and confidence."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
@@ -304,6 +320,11 @@ select tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 9) as accuracy, ro
     "q_most_frequent": "select human_intent, count(*) as n, min(example_id) as first from golden_set where human_intent is not null group by 1 order by n desc, first limit 1",
     "q_mean_scores": f"with {_J}, t as (select dimension, 'human' as system, human_score as s from j union all select dimension, 'judge', judge_score from j), u as (select * from t union all select 'overall', system, s from t) select system, dimension, round(avg(s), 9) as mean_score from u group by 1, 2",
     "q_topk": """with q as (select vec_id as query_id, embedding::double[] as a from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id as corpus_id, list_dot_product(a, embedding::double[]) as score from q cross join embeddings),
+r as (select *, row_number() over (partition by query_id order by score desc, corpus_id) as rank from s) select query_id, cast(rank as integer) as rank, corpus_id, round(score, 5) as score from r where rank <= 5""",
+    "q_topk_dedupe": """with q as (select vec_id as query_id, embedding::double[] as a from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id as corpus_id, label, list_dot_product(a, embedding::double[]) as score from q cross join embeddings),
+k as (select *, row_number() over (partition by query_id, label order by score desc, corpus_id) as of_key from s), r as (select *, row_number() over (partition by query_id order by score desc, corpus_id) as rank from k where of_key = 1)
+select query_id, cast(rank as integer) as rank, corpus_id, round(score, 5) as score from r where rank <= 3""",
+    "q_topk_filtered": """with q as (select vec_id as query_id, label as l, embedding::double[] as a from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id as corpus_id, list_dot_product(a, embedding::double[]) as score from q cross join embeddings where l is null or label is null or label = l),
 r as (select *, row_number() over (partition by query_id order by score desc, corpus_id) as rank from s) select query_id, cast(rank as integer) as rank, corpus_id, round(score, 5) as score from r where rank <= 5""",
     "q_tfidf_terms": f"""with src as (select doc_id as id, text as t from documents), {_TF.replace('{min_df}', '2')}, r as (select *, row_number() over (partition by id order by round(weight, 9) desc, term) as rank from wt)
 select id as doc_id, cast(rank as integer) as rank, term, round(weight, 6) as weight from r where rank <= 3""",
