@@ -8,7 +8,7 @@ from tests.llm.test_llm import found, tweets
 from tidewright.functions import vectors
 from tidewright.llm import conversations
 from tidewright.operators import tfidf
-from tidewright.plans import analytics
+from tidewright.plans import analytics, model_queries
 
 
 def char_wb(text):
@@ -93,3 +93,11 @@ def test_nearest_with_response_key_and_predicate(spark):
         for q, v, intent in ((1, [1.0, 0.0], "late"), (2, [0.5, 1.0], None)):
             assert [r["corpus_id"] for r in got if r["query_id"] == q] == by_hand(v, intent, 6, keyed)
     assert vectors.nearest(queries.limit(0), corpus, 6, key="response", predicate="intent").count() == 0
+
+
+def test_topics_count_every_thread(spark, tmp_path):
+    kinds = ["parcel late courier", "refund money card", "login password account"]
+    rows = [(f"t{i}", f"{kinds[i % 3]} the and") for i in range(60)] + [("rare", "zeppelin"), ("stop", "the and"), ("null", None)]
+    spark.createDataFrame(rows, "thread_id string, customer_text string").write.parquet(f"{tmp_path}/dev_silver.parquet")
+    n = {r["topic"]: r["texts"] for r in model_queries.q_topics(spark, str(tmp_path)).collect()}
+    assert sum(n.values()) == 63 and sorted(n.values()) == sorted(20 + 3 * (k == 0) for k in range(3)) and n[0] == 23

@@ -23,6 +23,12 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
+@F.pandas_udf(StringType())
+def strip_accents(s: pd.Series) -> pd.Series:
+    """NFKD without the combining marks."""
+    return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space become one blank, none at the ends; null gives the empty text."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), P.SPACES, " "), "^ | $", "")

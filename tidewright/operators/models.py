@@ -38,12 +38,13 @@ def fit_text_classifier(rows: DataFrame, text: str, label: str, features: int =
     return predict
 
 
-def topics(weights: DataFrame, key: str, k: int, iterations: int = 50, seed: int = 42, most_terms: int = 25_000) -> tuple[DataFrame, DataFrame]:
+def topics(weights: DataFrame, key: str, k: int, iterations: int = 50, seed: int = 42, most_terms: int = 25_000, tol: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(assignments: key, topic, strength; terms: topic, term, weight) of a non-negative factorization of (key, term, weight).
 
     Multiplicative updates: the factor of the terms (k rows of at most `most_terms` of the most frequent terms, a
     documented bound) is sent to the tasks; each task updates its documents' factor and sends back two partial
-    products of that size, which are added up by term. Documents stay where they are.
+    products of that size, which are added up by term. Documents stay where they are. With `tol`, updates end once ten
+    of them have lowered the error by less than that share of the first one.
     """
     df = weights.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(most_terms)
     vocabulary = df.select("term").orderBy("term").toPandas()["term"].tolist()  # at most most_terms
@@ -54,6 +55,8 @@ def topics(weights: DataFrame, key: str, k: int, iterations: int = 50, seed: int
     m = len(vocabulary)
     rng = np.random.default_rng(seed)
     h = rng.random((k, max(m, 1))) + 0.1
+    length2 = float(docs.select(F.sum(F.aggregate("x", F.lit(0.0), lambda acc, e: acc + e["weight"] * e["weight"]))).first()[0] or 0.0) if tol else 0.0
+    errors: list[float] = []
 
     def factor(x: list, hb: np.ndarray, hht: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         j = np.array([r["j"] for r in x])
@@ -84,8 +87,11 @@ def topics(weights: DataFrame, key: str, k: int, iterations: int = 50, seed: int
         parts = docs.select("x").mapInPandas(partial, "r int, num array<double>, wtw array<double>")
         total = parts.groupBy("r").applyInPandas(lambda p: pd.DataFrame({"r": [p["r"].iloc[0]], "num": [np.sum(p["num"].to_list(), axis=0)], "wtw": [np.sum(p["wtw"].to_list(), axis=0)]}), "r int, num array<double>, wtw array<double>").orderBy("r").toPandas()
         num, wtw = np.vstack(total["num"].to_list()), np.vstack(total["wtw"].to_list())
+        errors.append(np.sqrt(max(0.0, length2 - 2 * float((num * h).sum()) + float((wtw * (h @ h.T)).sum()))))
         h *= num / np.maximum(wtw @ h, 1e-12)
         shared.unpersist()
+        if tol and len(errors) % 10 == 1 and len(errors) > 1 and errors[-11] - errors[-1] < tol * errors[0]:
+            break
     last = spark.sparkContext.broadcast((h, h @ h.T))
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
