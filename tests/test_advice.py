@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_llm import found, tweets
 from tidewright.functions import vectors
-from tidewright.llm import conversations
+from tidewright.llm import conversations, residue
 from tidewright.operators import tfidf
 from tidewright.plans import analytics, model_queries
 
@@ -101,3 +101,20 @@ def test_topics_count_every_thread(spark, tmp_path):
     spark.createDataFrame(rows, "thread_id string, customer_text string").write.parquet(f"{tmp_path}/dev_silver.parquet")
     n = {r["topic"]: r["texts"] for r in model_queries.q_topics(spark, str(tmp_path)).collect()}
     assert sum(n.values()) == 63 and sorted(n.values()) == sorted(20 + 3 * (k == 0) for k in range(3)) and n[0] == 23
+
+
+TUTORIAL = "Open the settings of the help desk and choose the mail you want to change. " * 5 + "In a template {{name}} stands for the name of the customer. Save it when you are done."
+
+
+@pytest.mark.parametrize(
+    ("text", "case"),
+    [
+        ("```Dear {{name}}, your refund is on its way```", True), ('"Hello [CUSTOMER NAME], your refund is on its way"', True), (TUTORIAL, False),
+        (TUTORIAL + " Dear {{first_name}}, your order {{order_number}} and refund {{refund_amount}} are here.", True),
+        ("Dear {{name}}, " + "your parcel left the depot and comes tomorrow before noon. " * 8, True),
+        ("To greet a customer by name in the mails of your shop, write `{{name}}` where the name belongs.", False),
+    ],
+)
+def test_residue_density(spark, text, case):
+    df = spark.createDataFrame([("a", text)], "id string, t string")
+    assert residue.find_residue(df, "id", "t").count() == int(case)

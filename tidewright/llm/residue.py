@@ -85,6 +85,10 @@ SCRIPTS = [
 #: Context that shows the text to talk about such a thing: the find is quoted, or its sentence explains it.
 _EXPLAINS = r"(?i)\b(?:the .{0,20}(?:you saw|page means|came from|that you)|means the item|came from the old|if the button|reads '|showed \"|printed|says?|called|for example|e\.g\.|such as|is greyed out|in your browser settings|while you were|brings the form back|is not your item)\b|\[sic\]"
 
+#: A sentence that teaches about placeholders, and how long a text with a lone one is that may hold it.
+_TEACHES = r"(?i)\b(?:placeholders?|templates?|variables?|merge (?:fields?|tags?)|syntax|tutorial|snippets?|(?:curly |square )?(?:braces|brackets)|platzhalter|vorlagen?|plantillas?|modèles?)\b"
+LONG, LONE = 300, 40
+
 
 def _without_code(text: Column) -> Column:
     """The text without fenced and inline code and without quoted pieces, which only mention what they hold."""
@@ -109,11 +113,16 @@ def _hammered(text: Column) -> Column:
 
 
 def _forms(text: Column) -> Column:
-    """A text as the rules read it: trimmed; without code and quotes; of that, the sentences that explain nothing."""
+    """A text as the rules read it: trimmed; without code and quotes, unless they are most of it; of that, the
+    sentences that explain nothing; and where unfilled places are looked for, without those that teach about a lone one."""
     whole = F.trim(F.coalesce(text, F.lit("")))
-    loose = _without_code(whole)
+    cut = _without_code(whole)
+    # where code and quotes are most of the text they are its content, unless they show little but a placeholder
+    loose = F.when((F.length(F.trim(cut)) * 2 < F.length(whole)) & (density(whole) < 0.5), whole).otherwise(cut)
     plain = F.array_join(F.filter(_sentences(loose), lambda s: ~s.rlike(_EXPLAINS)), "\n")
-    return F.struct(whole.alias("whole"), loose.alias("loose"), plain.alias("plain"))
+    untaught = F.array_join(F.filter(_sentences(loose), lambda s: ~s.rlike(_TEACHES)), "\n")
+    slots = F.when((F.length(loose) >= LONG) & loose.rlike(_TEACHES) & (density(loose) * F.length(loose) <= LONE), untaught).otherwise(loose)
+    return F.struct(whole.alias("whole"), loose.alias("loose"), plain.alias("plain"), slots.alias("slots"))
 
 
 def residue_kinds(text: Column) -> Column:
@@ -125,7 +134,7 @@ def _kinds(forms: Column) -> Column:
     whole, loose, plain = forms["whole"], forms["loose"], forms["plain"]
     found = []
     for name, p in PLACEHOLDERS:
-        found.append(F.when(loose.rlike(p), F.lit(f"placeholder:{name}")))
+        found.append(F.when(forms["slots"].rlike(p), F.lit(f"placeholder:{name}")))
     for name, p in EMPTY:
         found.append(F.when((whole if name == "whole" else loose).rlike(p), F.lit(f"empty:{name}")))
     for name, p in FILLER:
