@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_llm import found, tweets
 from tidewright.functions import vectors
-from tidewright.llm import conversations, residue
+from tidewright.llm import conversations, residue, sentences
 from tidewright.operators import tfidf
 from tidewright.plans import analytics, model_queries
 
@@ -118,3 +118,11 @@ TUTORIAL = "Open the settings of the help desk and choose the mail you want to c
 def test_residue_density(spark, text, case):
     df = spark.createDataFrame([("a", text)], "id string, t string")
     assert residue.find_residue(df, "id", "t").count() == int(case)
+
+
+def test_cascade_counts_the_whole_block():
+    spanish = "El paquete no llegó y las cajas se han roto por una caída del camión que es viejo. " * 15
+    english = "The parcel was not in the box and it is with you for the day that was set. " * 40
+    assert len(spanish) < 2000
+    rules = sentences.cascade(spanish + spanish[:700] + english, None)
+    assert rules is sentences.cascade(english + spanish, None) and rules is not sentences.cascade(spanish, None)

@@ -163,7 +163,7 @@ def cascade(block: str, hint: str | None) -> list[Rule]:
     names: list[str] = []
     if latin:
         counts = {k: 0 for k in _LATIN}
-        for w in _WORD.findall(block[:2000].lower()):
+        for w in _WORD.findall(block.lower()):
             for k in _LATIN:
                 counts[k] += w in _FW[k]
         best = sorted(_LATIN, key=lambda k: (-counts[k], k != (hint or ""), _LATIN.index(k)))
