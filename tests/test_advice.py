@@ -126,3 +126,9 @@ def test_cascade_counts_the_whole_block():
     assert len(spanish) < 2000
     rules = sentences.cascade(spanish + spanish[:700] + english, None)
     assert rules is sentences.cascade(english + spanish, None) and rules is not sentences.cascade(spanish, None)
+
+
+def test_sentences_with_wide_space_between():
+    for space in (" " * 40, " " * 400, "\n" + " " * 60, "\t" * 50):
+        t = f"It came.{space}It was torn.{space}"
+        assert [t[a - 1 : b] for a, b in sentences.sentences(t)] == ["It came.", "It was torn."]

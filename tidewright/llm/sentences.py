@@ -75,6 +75,7 @@ _CANDIDATE = regex.compile(
 )
 _URL = regex.compile(r"(?:https?://|www\.)\S+|(?<![\p{L}\p{N}_.+@-])(?:[\w+-]+(?:\.[\w+-]+)*+@[\w-]+(?:\.[\w-]+)++|\p{Ll}[\p{L}\p{N}-]*+(?:\.\p{Ll}[\p{L}\p{N}-]*+)*+/\S*|\p{Ll}[\p{Ll}\p{N}-]*+(?:\.\p{Ll}[\p{Ll}\p{N}-]++)*?\.(?:com|org|net|example|de|fr|es|io|invalid|test|html?|pdf|txt|js|py|png|jpe?g|csv)\b)", regex.I)
 _WORD = regex.compile(r"[\p{L}']+")
+_SPACES = regex.compile(r"\s*+")
 
 
 def _alt(words: list[str]) -> str:
@@ -255,9 +256,11 @@ def _block(block: str, hint: str | None) -> Iterator[int]:
         closed = [(a, b) for a, b in inside if b < end]
         if len(closed) < len(inside):
             continue  # the sentence around goes on
-        rest = block[end : end + 40]
-        if not rest.strip():
+        # white space of any length counts as one sign of it, so that the window reaches the next word
+        nxt_at = _SPACES.match(block, end).end()
+        if nxt_at == len(block):
             continue  # the block's end
+        rest = block[end : end + 1] + block[nxt_at : nxt_at + 39] if nxt_at > end + 1 else block[end : end + 40]
         if closed:
             a, b = min(closed)
             start = block[begin:a].strip() == ""
