@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.llm.test_llm import found, tweets
 from tidewright.functions import vectors
 from tidewright.llm import conversations, residue, sentences
-from tidewright.operators import tfidf
+from tidewright.operators import packed, tfidf
 from tidewright.plans import analytics, model_queries
 
 
@@ -132,3 +132,9 @@ def test_sentences_with_wide_space_between():
     for space in (" " * 40, " " * 400, "\n" + " " * 60, "\t" * 50):
         t = f"It came.{space}It was torn.{space}"
         assert [t[a - 1 : b] for a, b in sentences.sentences(t)] == ["It came.", "It was torn."]
+
+
+def test_bare_joins_any_number_of_groups(spark):
+    cells = ['"1,234,567,890,123,456,789"', '"12,345","12,346"', '12,345', '" 1,234 "', '"1,2345"', '"1234,567"', '5,"1,234,567,890,123,456",7', None]
+    got = [r[0] for r in spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").orderBy("i").select(packed.bare(F.col("c"))).collect()]
+    assert got == ['"1234567890123456789"', '"12345","12346"', '12,345', '" 1234 "', '"1,2345"', '"1234567"', '5,"1234567890123456",7', '']

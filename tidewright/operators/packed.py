@@ -30,9 +30,9 @@ _PIECE_TRIM = r"^[\s ﻿​\[\](){}\"'“”‘’]+|[\s ﻿​\[\](){}\"'“”
 def bare(cell: Column) -> Column:
     """The cell with digit groups inside double quotes joined and the fraction that float columns add to ids removed."""
     c = F.coalesce(cell, F.lit(""))
-    # "12,345" -> "12345": a comma between digits inside one pair of double quotes, any number of groups
-    for _ in range(4):
-        c = F.regexp_replace(c, r'"(\s*\d+),(\d{3}(?:,\d{3})*\s*)"', '"$1$2"')
+    # "12,345" -> "12345": all commas of a digit group that a pair of double quotes holds, any number of them; \\G goes
+    # on from the last comma of the same group
+    c = F.regexp_replace(c, r'(?:("\s*\d++)(?=(?:,\d{3})+\s*")|(?<!^)\G(\d{3})(?=,)),', "$1$2")
     return F.regexp_replace(c, r"(?<![\d.])(\d+)\.0+(?![\d.])", "$1")
 
 
