@@ -78,8 +78,7 @@ QUERIES = {
 }
 
 #: Brute force over every pair of records that share a word; no pruning.
-ORACLE = {
-    "p4_found": r"""
+_OVERLAPS = r"""
 with recs as (
   select 'e' as side, 'golden' as split, example_id as id, customer_message as text from golden_set
   union select 'e', 'dev', thread_id, customer_text from dev_silver
@@ -102,8 +101,25 @@ with recs as (
   join w wb on wb.rec = b.rec and wb.side = 't'
   group by a.rec, b.rec
 )
+, found as (
 select distinct we.split as eval_split, we.id as eval_id, wt.split as train_split, wt.id as thread_id
 from common join w we on we.rec = e join w wt on wt.rec = t
 where c * 10 >= (len(we.ws) + len(wt.ws) - c) * 7
+)
 """
+
+ORACLE = {
+    "p4_found": _OVERLAPS + "select * from found",
+    "p4_counts": _OVERLAPS
+    + r""", n as (
+  select try_cast(regexp_extract(eval_id, '^gold-(\d+)-', 1) as bigint) as audit_round, train_split, count(distinct eval_id) as found
+  from found where eval_split = 'golden' group by 1, 2
+), said as (
+  select audit_round, 'train' as train_split, golden_overlap_counts.train as stated from leakage_validation
+  union all select audit_round, 'retrieval_index', golden_overlap_counts.retrieval_index from leakage_validation
+)
+select coalesce(said.audit_round, n.audit_round) as audit_round, coalesce(said.train_split, n.train_split) as train_split, stated, coalesce(found, 0) as found
+from said full join n on said.audit_round = n.audit_round and said.train_split = n.train_split
+""",
+    "p4_sources": _OVERLAPS + "select eval_split, train_split, count(*) as pairs, count(distinct eval_id) as eval_records, count(distinct thread_id) as threads from found group by 1, 2",
 }
