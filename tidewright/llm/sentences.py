@@ -1,14 +1,18 @@
 """Problem 10: sentence boundaries by cascading tables of ordered break and no-break rules.
 
-A text is cut into blocks at blank lines and before list items. In a block every final mark is a candidate; the rule
-tables of the block's language, then those of its script, then the general one are asked in order, and the first rule
-whose two regular expressions match before and behind the candidate decides.
+A text is cut into blocks at blank lines and before list items. In a block every final mark is a candidate, and in Thai
+every blank. The tables of rules are asked in order: quotations and brackets that close at the mark, marks of other
+scripts, the block's language, the others of its script, the general one. The first rule decides whose conditions hold
+at the candidate and whose two regular expressions match before and behind it. Expressions for what stands before are
+matched backwards from the candidate, and quotations and links are walked along with the candidates, so that the time
+goes with the length of the text.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -74,6 +78,8 @@ _CANDIDATE = regex.compile(
     rf"(?P<m>[{_MARKS}]+)(?P<c>(?:[ \u00a0\u202f]?[»›](?!\w)|(?<=[»›])[ \u00a0\u202f][?!]+|[{_CLOSE}]|{_EMOJI}|[{_MARKS}])*)|(?P<t>(?<=[\u0e00-\u0e7f])[ \u00a0]+(?=[\u0e00-\u0e7f]))"
 )
 _URL = regex.compile(r"(?:https?://|www\.)\S+|(?<![\p{L}\p{N}_.+@-])(?:[\w+-]+(?:\.[\w+-]+)*+@[\w-]+(?:\.[\w-]+)++|\p{Ll}[\p{L}\p{N}-]*+(?:\.\p{Ll}[\p{L}\p{N}-]*+)*+/\S*|\p{Ll}[\p{Ll}\p{N}-]*+(?:\.\p{Ll}[\p{Ll}\p{N}-]++)*?\.(?:com|org|net|example|de|fr|es|io|invalid|test|html?|pdf|txt|js|py|png|jpe?g|csv)\b)", regex.I)
+# each link holds one of these
+_MAY_LINK = regex.compile(r"[/@]|\w\.\w|www\.", regex.I)
 _WORD = regex.compile(r"[\p{L}']+")
 _SPACES = regex.compile(r"\s*+")
 
@@ -84,15 +90,29 @@ def _alt(words: list[str]) -> str:
     return "|".join(spaced)
 
 
+# Conditions at a candidate that a rule may need.
+CLOSED, BRACKET, QUOTE, START, INNER, SAID, KANA, NO_KANA, MIXED, EMOJI, EAST, INDIC, ELLIPSIS, DOTS, STRONG, POINT = (1 << i for i in range(16))
+
+
 class Rule:
-    """break_ decides if `before` matches at the end of what stands before the candidate's end and `after` what follows."""
+    """Decides `break_` where the conditions `needs` hold, `before` matches what ends at the candidate and `after` what follows."""
 
-    __slots__ = ("break_", "before", "after")
+    __slots__ = ("break_", "before", "after", "needs")
 
-    def __init__(self, break_: bool, before: str, after: str, flags: int = 0):
+    def __init__(self, break_: bool, before: str, after: str, flags: int = 0, needs: int = 0):
         self.break_ = break_
-        self.before = regex.compile(rf"(?:{before})\Z", flags) if before else None
+        self.before = regex.compile(rf"(?r)(?:{before})", flags) if before else None
         self.after = regex.compile(after, flags) if after else None
+        self.needs = needs
+
+    def holds(self, text: str, begin: int, end: int, on: int) -> bool:
+        """For a sentence that began at `begin`, a candidate that ends at `end` and text that goes on at `on`."""
+        if self.after is not None and self.after.match(text, on) is None:
+            return False
+        if self.before is None:
+            return True
+        # the start of the sentence is the edge of a word, whatever stands before it
+        return (self.before.match(text[begin:end]) if end - begin <= 64 else self.before.match(text, begin, end)) is not None
 
 
 _SP = r"[\s  ]+"
@@ -142,12 +162,56 @@ _GENERAL = [
     Rule(True, r"", rf"{_SP}"),
 ]
 
-#: Asked before all others: a letter with a point that another one follows (z. B., p. ex., U.S.).
+#: Asked before all others of a language: a letter with a point that another one follows (z. B., p. ex., U.S.).
 _FIRST = [Rule(False, r"(?<![\p{L}\p{N}'’])\p{L}\.", rf"(?:{_SP})?\p{{L}}{{1,2}}\.")]
 
-_LOWER_GOES_ON = regex.compile(rf"{_SP}(?:and|or|but|for|no|not|just|then|et|y|e|und|le|la|les|el|и|а|но)\b", regex.I)
-_KANA_GOES_ON = regex.compile(r"[とってはがをにのでもや、，,。．.；;：:]|という|だけ")
-_HAN_GOES_ON = regex.compile(r"[，,、；;：:。]|然后|她|他|我|就|但|而|却|不过|只|的|是")
+_OPENING = r"[¿¡\"“«„‘(\[]*"
+_HAN = r"[\p{Han}\p{Hiragana}\p{Katakana}ー、，,；;：:。]"
+_KANA_ON = r"(?:[とってはがをにのでもや、，,。．.；;：:]|という|だけ)"
+_HAN_ON = r"(?:[，,、；;：:。]|然后|她|他|我|就|但|而|却|不过|只|的|是)"
+
+#: A quotation or bracket closes at the mark, and no other mark follows it.
+_CLOSED = [
+    Rule(False, "", rf"\s+{_OPENING}\p{{Ll}}", needs=CLOSED | MIXED),
+    Rule(False, "", rf"\s+I (?:{'|'.join(SAYING)})\b", needs=CLOSED | MIXED | START | QUOTE),
+    Rule(True, "", rf"\s+{_OPENING}\p{{Lu}}", needs=CLOSED | MIXED),
+    Rule(False, "", r"\p{Ll}", needs=CLOSED | MIXED),
+    # scripts without spaces: what goes on with a particle belongs to the sentence around
+    Rule(True, "", rf"\s*{_HAN}", needs=CLOSED | BRACKET | START),
+    Rule(False, "", rf"\s*{_HAN}", needs=CLOSED | BRACKET),
+    Rule(False, "", rf"\s*(?={_HAN}){_KANA_ON}", needs=CLOSED | KANA),
+    Rule(False, "", rf"\s*(?={_HAN}){_HAN_ON}", needs=CLOSED | NO_KANA),
+    Rule(False, "", rf"\s*{_HAN}", needs=CLOSED | START),
+    Rule(True, "", rf"\s*{_HAN}", needs=CLOSED),
+    Rule(True, "", r"\s+[\p{L}\p{N}]", needs=CLOSED | BRACKET | START),
+    Rule(True, "", r"[\p{L}\p{N}]", needs=CLOSED | BRACKET | START | EMOJI),
+    Rule(True, "", r"\s+[\p{L}\p{N}]", needs=CLOSED | QUOTE | SAID | INNER),
+    Rule(True, "", r"[\p{L}\p{N}]", needs=CLOSED | QUOTE | SAID | INNER | EMOJI),
+    Rule(False, "", r"\s*[\p{L}\p{N}]", needs=CLOSED),
+    Rule(False, "", r"\s*[,;:،؛–—-]", needs=CLOSED),
+]
+#: Marks that leave little to decide: those of scripts with marks of their own, and the dots of omission.
+_MARK = [
+    Rule(True, "", "", needs=EAST),
+    Rule(True, "", r"[^\p{L}\p{N}]", needs=INDIC),
+    Rule(False, "", rf"(?!\p{{Lu}}|{_EMOJI})\S", needs=ELLIPSIS),
+]
+#: Texts without capitals, where white space follows: before and behind the language's rules against a break.
+_SMALL_FIRST = [Rule(False, "", rf"{_SP}(?:and|or|but|for|no|not|just|then|et|y|e|und|le|la|les|el|и|а|но)\b", regex.I, DOTS)]
+_SMALL_LAST = [
+    Rule(False, r"(?<![\p{L}\p{N}'’])\p{L}\.", "", needs=POINT),
+    Rule(False, "", r"\s+[؀-ۿऀ-ॿ฀-๿]", needs=DOTS),
+    Rule(True, "", ""),
+]
+#: Small letters behind ! and ?.
+_STRONG = [Rule(True, "", r"\s+\p{Ll}", needs=STRONG)]
+#: Blanks between Thai letters.
+_THAI = [
+    Rule(False, "", "|".join(THAI_GOES_ON)),
+    Rule(True, "|".join(THAI_FINAL), ""),
+    Rule(True, r"[^\d\"“”']{14}", r"[฀-๿]{14}"),
+    Rule(False, "", ""),
+]
 
 
 def _tables() -> dict[str, list[Rule]]:
@@ -158,188 +222,179 @@ _TABLES = _tables()
 _LATIN = ["en", "de", "fr", "es", "pt"]
 
 
-def cascade(block: str, hint: str | None) -> list[Rule]:
-    """The rule tables for a block: its own language, the others of its script, the general table."""
-    latin = regex.search(r"\p{Latin}{2}", block)
+_FW: dict[str, list[int]] = {}
+for _k, _name in enumerate(_LATIN):
+    for _w in FUNCTION_WORDS[_name]:
+        _FW.setdefault(_w, []).append(_k)
+
+
+def cascade(block: str, hint: str | None) -> tuple[str, ...]:
+    """The languages whose tables a block meets, in order: its own, then the others of its script."""
     names: list[str] = []
-    if latin:
-        counts = {k: 0 for k in _LATIN}
+    if _HAS_LATIN.search(block):
+        counts = [0] * len(_LATIN)
         for w in _WORD.findall(block.lower()):
-            for k in _LATIN:
-                counts[k] += w in _FW[k]
-        best = sorted(_LATIN, key=lambda k: (-counts[k], k != (hint or ""), _LATIN.index(k)))
-        names += best
-    if regex.search(r"\p{Cyrillic}", block):
-        names.insert(0, "ru")
-    if regex.search(r"\p{Devanagari}", block):
-        names.insert(0, "hi")
-    if regex.search(r"\p{Arabic}", block):
-        names.insert(0, "ar")
-    key = tuple(names)
-    if key not in _CASCADES:
-        _CASCADES[key] = _FIRST + [r for n in names for r in _TABLES[n]]
-    return _CASCADES[key]
-
-
-_FW = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
-_CASCADES: dict[tuple, list[Rule]] = {}
+            for k in _FW.get(w, ()):
+                counts[k] += 1
+        names += [_LATIN[k] for k in sorted(range(len(_LATIN)), key=lambda k: (-counts[k], _LATIN[k] != hint, k))]
+    if not block.isascii():
+        for script, name in _SCRIPTS:
+            if script.search(block):
+                names.insert(0, name)
+    return tuple(names)
+
+
+_HAS_LATIN = regex.compile(r"\p{Latin}{2}")
+_SCRIPTS = [(regex.compile(r"\p{Cyrillic}"), "ru"), (regex.compile(r"\p{Devanagari}"), "hi"), (regex.compile(r"\p{Arabic}"), "ar")]
+
+
+@lru_cache(maxsize=None)
+def _rules(names: tuple[str, ...], have: int, small: bool, listed: bool) -> list[Rule]:
+    """The rules that can hold under the conditions `have`, in order. Without `listed`, whether the word before a lone
+    point is one that the languages' rules name, none of theirs can match."""
+    lang = _FIRST + [r for n in names for r in _TABLES[n]] if listed else []
+    every = _CLOSED + _MARK + (_SMALL_FIRST + [r for r in lang if not r.break_] + _SMALL_LAST if small else lang + _STRONG + _GENERAL)
+    return [r for r in every if not r.needs & ~have]
+
+
+def _last_words() -> frozenset[str]:
+    """The last words of all that the languages' rules name, in small letters."""
+    named = [w for table in (ABBREVIATIONS, NUMBERED, CLOSING) for ws in table.values() for w in ws]
+    named += ["no", "co", "inc", "ltd", "corp", "bros", "cie", "a", "v"]
+    forms = {f.lower() for w in named for f in (w, unicodedata.normalize("NFD", w))}
+    return frozenset(regex.split(r"[^\p{L}\p{M}\p{N}]", w)[-1] for w in forms)
+
+
+_LAST = _last_words()
+
+
+_TAIL = regex.compile(r"(?r)[\p{L}\p{M}\p{N}]*+")
+
+
+def _listed(block: str, begin: int, mark: int) -> bool:
+    """Whether the word before the mark is the last word of one that the languages' rules name, a short one or a number."""
+    word = _TAIL.match(block, begin, mark)[0]
+    return len(word) <= 2 or word.lower() in _LAST
+
+
+_PAIRED = regex.compile(r"[()\[\]{}（）［］｛｝「」『』《》〈〉【】«»“”‘’„‚‹›\"']")
 
 
 def _spans(block: str) -> list[tuple[int, int]]:
-    """(open, close) positions of quotations and brackets that are closed in the block."""
-    out, stack = [], []
-    for m in regex.finditer(r"[()\[\]{}（）［］｛｝「」『』《》〈〉【】«»“”‘’„‚‹›\"']", block):
+    """(open, close) positions of quotations and brackets that are closed in the block, by their opening; they nest."""
+    out: list[tuple[int, int]] = []
+    stack: list[tuple[int, str]] = []
+    at: dict[str, list[int]] = {}  # places in the stack of those that a sign closes
+
+    def drop(k: int) -> None:
+        out.append((stack[k][0], i))
+        while len(stack) > k:
+            for c in stack.pop()[1]:
+                at[c].pop()
+
+    def push(closers: str) -> None:
+        for c in closers:
+            at.setdefault(c, []).append(len(stack))
+        stack.append((i, closers))
+
+    for m in _PAIRED.finditer(block):
         i, ch = m.start(), m[0]
         before = block[i - 1] if i else " "
         behind = block[i + 1] if i + 1 < len(block) else " "
         if ch in "'’" and before.isalnum() and behind.isalnum():
             continue
-        if stack and ch in stack[-1][1]:
-            if ch in "\"'" and (before.isspace() or before in "([") and not behind.isspace():
-                pass  # an opening straight quote inside another
-            else:
-                out.append((stack.pop()[0], i))
-                continue
-        deeper = next((k for k in range(len(stack) - 1, -1, -1) if ch in stack[k][1]), None)
+        # an opening straight quote may stand inside another one
+        if stack and ch in stack[-1][1] and not (ch in "\"'" and (before.isspace() or before in "([") and not behind.isspace()):
+            drop(len(stack) - 1)
+            continue
+        deeper = at[ch][-1] if at.get(ch) else None
         if ch in "\"'":
             if (before.isspace() or before in "([{-–—:（") and not behind.isspace():
-                stack.append((i, ch))
+                push(ch)
             elif ch == '"' and deeper is not None:
-                out.append((stack[deeper][0], i))
-                del stack[deeper:]
+                drop(deeper)
             elif ch == '"' and not before.isalnum() and behind.isalnum() and before not in _MARKS:
-                stack.append((i, ch))
+                push(ch)
             continue
         if ch in _PAIRS and not (ch == "“" and deeper is not None):
             if ch == "‘" and before.isalnum():
                 continue
-            stack.append((i, _PAIRS[ch]))
+            push(_PAIRS[ch])
         elif deeper is not None and ch != "’":
-            out.append((stack[deeper][0], i))
-            del stack[deeper:]
-    return out
+            drop(deeper)
+    return sorted(out)
+
+
+_HAS_KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
+_HAS_BIG, _HAS_SMALL = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}{2}")
+_FIRST_ITEM = regex.compile(r"\s*\(?(?:\d{1,3}|[A-Za-z])[.)]\s")
+_UP_QUOTE = regex.compile("[“‘]")
+_IS_EMOJI = regex.compile(_EMOJI)
 
 
 def _block(block: str, hint: str | None) -> Iterator[int]:
     """Ends of the sentences of a block, but for its own end."""
     if not _CANDIDATE.search(block):
         return
-    rules = cascade(block, hint)
-    small = not regex.search(r"\p{Lu}", block)
-    big = not small and not regex.search(r"\p{Ll}{2}", block)
-    urls = [(m.start(), m.start() + len(m[0].rstrip(".,!?;:)\"'"))) for m in _URL.finditer(block)] if "." in block else []
+    names = cascade(block, hint)
+    small = not _HAS_BIG.search(block)
+    mixed = MIXED if not small and _HAS_SMALL.search(block) else 0
+    kana = None
+    urls = [(m.start(), m.start() + len(m[0].rstrip(".,!?;:)\"'"))) for m in _URL.finditer(block)] if _MAY_LINK.search(block) else []
     spans = _spans(block)
-    begin = 0
-    item = regex.match(r"\s*\(?(?:\d{1,3}|[A-Za-z])[.)]\s", block)
+    item = _FIRST_ITEM.match(block)
     low_quotes = "„" in block or "‚" in block  # only then “ and ‘ close a quotation
+    begin, first = 0, _SPACES.match(block).end()  # the sentence, and its first sign
+    url = span = 0
+    around: list[tuple[int, int]] = []  # the spans around the candidate, the outermost first
     for m in _CANDIDATE.finditer(block):
-        end = m.end()
-        if m["c"] and not low_quotes and (up := regex.search("[“‘]", m["c"])):
-            end = m.start("c") + up.start()
+        end, mark = m.end(), m.start()
+        while span < len(spans) and spans[span][0] < mark:
+            while around and around[-1][1] < spans[span][0]:
+                around.pop()
+            around.append(spans[span])
+            span += 1
+        while around and around[-1][1] <= mark:
+            around.pop()
         if m["t"] is not None:
-            i = m.start()
-            if any(a < i < b for a, b in spans):
-                continue
-            left, right = block[begin:i], block[end:]
-            if right.startswith(tuple(THAI_GOES_ON)):
-                continue
-            if left.endswith(tuple(THAI_FINAL)) or (len(left) >= 14 and not regex.search(r"\d\s*\S{0,6}\Z|[\d\"“”']", left[-14:]) and regex.match(r"[฀-๿]{14}", right)):
-                yield i
-                begin = end
+            if not around and next(r for r in _THAI if r.holds(block, begin, mark, end)).break_:
+                yield mark
+                begin = first = end
             continue
-        mark = m.start()
+        closers = m["c"]
+        if closers and not low_quotes and (up := _UP_QUOTE.search(closers)):
+            end = m.start("c") + up.start()
         if item and mark < item.end():
             continue
-        if any(a <= mark < b for a, b in urls):
+        while url < len(urls) and urls[url][1] <= mark:
+            url += 1
+        if url < len(urls) and urls[url][0] <= mark:
             continue
-        inside = [(a, b) for a, b in spans if a < mark < b]
-        closed = [(a, b) for a, b in inside if b < end]
-        if len(closed) < len(inside):
+        if around and around[0][1] >= end:
             continue  # the sentence around goes on
-        # white space of any length counts as one sign of it, so that the window reaches the next word
-        nxt_at = _SPACES.match(block, end).end()
-        if nxt_at == len(block):
+        if _SPACES.match(block, end).end() == len(block):
             continue  # the block's end
-        rest = block[end : end + 1] + block[nxt_at : nxt_at + 39] if nxt_at > end + 1 else block[end : end + 40]
-        if closed:
-            a, b = min(closed)
-            start = block[begin:a].strip() == ""
-            bracket = block[a] in "([{（［｛【"
-            lead = block[begin:a].rstrip()[-1:]
-            said = lead in ":：,،，" and lead != ""
-            nxt = rest.lstrip()
-            cased = regex.match(r"[¿¡\"“«„‘(\[]*[\p{Lu}\p{Ll}]", nxt) and not small and not big
-            if block[end - 1] in _MARKS and block[end - 1] not in "…" and end - 1 > b:
-                pass  # another final mark behind what closes
-            elif cased and rest[0].isspace():
-                low = regex.match(r"[¿¡\"“«„‘(\[]*\p{Ll}", nxt)
-                if low or (start and not bracket and regex.match(rf"I (?:{'|'.join(SAYING)})\b", nxt)):
-                    continue
-                yield end
-                begin = end
-                continue
-            elif cased and not rest[0].isspace() and regex.match(r"\p{Ll}|[-–—,;:.]", rest):
-                continue
-            elif regex.match(r"\s*[\p{Han}\p{Hiragana}\p{Katakana}ー、，,；;：:。]", rest):
-                if bracket:
-                    if start:
-                        yield end
-                        begin = end
-                    continue
-                kana = regex.search(r"[\p{Hiragana}\p{Katakana}]", block)
-                goes = (_KANA_GOES_ON if kana else _HAN_GOES_ON).match(rest.lstrip())
-                if goes or start:
-                    continue
-                yield end
-                begin = end
-                continue
-            elif regex.match(r"\s*[\p{L}\p{N}]", rest):
-                if (bracket and start) or (not bracket and said and not start):
-                    if rest[0].isspace() or regex.search(_EMOJI, m["c"] or ""):
-                        yield end
-                        begin = end
-                continue
-            elif regex.match(r"\s*[,;:،؛–—-]", rest):
-                continue
         ch = m["m"][-1]
-        if ch in "。！？｡．":
-            if set(m["m"]) <= {"…"}:
-                continue
-            yield end
-            begin = end
-            continue
-        if ch in "।॥؟۔" and not rest[0].isalnum():
-            yield end
-            begin = end
-            continue
-        if ch == "…" and not rest[0].isspace() and not regex.match(r"\p{Lu}|" + _EMOJI, rest):
-            continue
-        before = block[max(begin, mark - 24) : end]
-        dots = m["m"] in ("…", "..", "...", "....", "……") and not m["c"]
-        if small and rest[0].isspace():
-            if dots and _LOWER_GOES_ON.match(rest):
-                continue
-            decided = next((r.break_ for r in rules if not r.break_ and r.before.search(before) and (r.after is None or r.after.match(rest))), None)
-            initial = ch == "." and regex.search(r"(?<![\p{L}\p{N}'’])\p{L}\.\Z", before)
-            caseless = regex.match(r"\s+[؀-ۿऀ-ॿ฀-๿]", rest)
-            if decided is False or initial or (dots and caseless):
-                continue
-            yield end
-            begin = end
-            continue
-        for r in rules:
-            if (r.before is None or r.before.search(before)) and (r.after is None or r.after.match(rest)):
-                decided = r.break_
-                break
-        else:
-            low_after_strong = ch in "!?" and regex.match(r"\s+\p{Ll}", rest) and not m["c"]
-            if low_after_strong:
-                decided = True
+        have = EAST if ch in "。！？｡．" else INDIC if ch in "।॥؟۔" else STRONG if ch in "!?" and not closers else POINT if ch == "." else ELLIPSIS if ch == "…" else 0
+        if not closers and m["m"] in ("…", "..", "...", "....", "……"):
+            have |= DOTS
+        if around and not (block[end - 1] in _MARKS and block[end - 1] != "…" and end - 1 > around[0][1]):
+            a = around[0][0]
+            have |= CLOSED | mixed | (BRACKET if block[a] in "([{（［｛【" else QUOTE)
+            if first >= a:
+                have |= START
             else:
-                decided = next(r.break_ for r in _GENERAL if (r.before is None or not r.before.pattern or r.before.search(before)) and (r.after is None or r.after.match(rest)))
-        if decided:
+                k = a
+                while k > begin and block[k - 1].isspace():
+                    k -= 1
+                have |= INNER | (SAID if block[k - 1] in ":：,،，" else 0)
+            if kana is None:
+                kana = KANA if _HAS_KANA.search(block) else NO_KANA
+            have |= kana | (EMOJI if closers and _IS_EMOJI.search(closers) else 0)
+        rules = _rules(names, have, small and block[end].isspace(), m["m"] == "." and end == mark + 1 and _listed(block, begin, mark))
+        if next(r for r in rules if r.holds(block, begin, end, end)).break_:
             yield end
-            begin = end
+            begin, first = end, _SPACES.match(block, end).end()
 
 
 def sentences(text: str | None, hint: str | None = None) -> list[tuple[int, int]]:
