@@ -2,7 +2,8 @@
 
 Regular expressions propose spans, checksum validators (Luhn, mod 97, Verhoeff, mod 23) confirm or refute them, and
 words nearby move the score of a span up or down; spans of score 1 or more are kept, and where spans overlap the one
-of the higher score, then the longer one. A gate of JVM regular expressions, each a necessary condition of a kind of
+of the higher score, then the longer one. Names are scored by classes of words before and behind them, by their shape
+and by whether their parts are common words. A gate of JVM regular expressions, each a necessary condition of a kind of
 span, keeps texts that can't hold any out of Python; the rest is worked on in Arrow batches in one pass.
 """
 
@@ -15,8 +16,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..session import spread, workers_import
+from ..session import spread
 
 # Words of streets, of which the first group is also common in other uses.
 _COMMON_STREET = "drive dr close court ct crescent cres way place pl square sq terrace gardens grove hill row walk mews parade lane ln".split()
@@ -29,17 +31,31 @@ _NO_NAME = frozenset(
 )
 
 _TOK = r"\p{L}(?:[\p{L}\p{M}]|['’\-](?=\p{L}))*[\p{L}\p{M}]"
-_PAIR = rf"(?:{_TOK},\s{{1,2}}{_TOK}|{_TOK}\s{{1,2}}(?:\p{{L}}\.\s?)?{_TOK})(?![\p{{L}}\p{{N}}@_])"
-
-# What stands before a name, in small letters; strong ones name a person by themselves.
-_BEFORE_STRONG = (
-    "belong to|belongs to|addressed to|label say|label says|your colleague|my colleague|a colleague|the colleague|signed by|signed for by|taken by|accepted by|my name is|names|name's|name’s"
-    "|mein name ist|ich heiße|ich heisse|je m'appelle|je m’appelle|mon nom est|me llamo|mi nombre es|meu nome é|meu nome e|chamo-me|mi chiamo|mijn naam is|account is under|in the name of|under the name|name"
+# Small words inside names.
+_PARTICLE = r"(?:de|del|de la|de los|da|das|do|dos|di|van|van der|van den|von|von der|zu|ter|ten|bin|ibn|al|el|la|le|y|e)"
+_PAIR = rf"(?:{_TOK},\s{{1,2}}{_TOK}|{_TOK}\s{{1,2}}(?:\p{{L}}\.\s?)?(?:{_PARTICLE}\s)?{_TOK})(?![\p{{L}}\p{{N}}@_])"
+_MORE = regex.compile(rf"\s(?:(?i:{_PARTICLE})\s)?(?P<w>\p{{Lu}}(?:[\p{{L}}\p{{M}}]|['’\-](?=\p{{L}}))*[\p{{L}}\p{{M}}])(?![\p{{L}}\p{{N}}@_])")
+
+# What stands before a name, in small letters, by class. The first names a person by itself.
+_SAYS_NAME = (
+    "my name is|the name is|name's|name’s|names|name|account is under|in the name of|under the name|under the name of|registered to|made out to|belong to|belongs to|addressed to|label say|label says|label reads|attn|attention of"
+    "|mein name ist|ich heiße|ich heisse|je m'appelle|je m’appelle|mon nom est|me llamo|mi nombre es|meu nome é|meu nome e|chamo-me|mi chiamo|mijn naam is"
     "|mr|mrs|ms|miss|herr|herrn|frau|sr|sra|monsieur|madame|mme|dona"
 ).split("|")
-_BEFORE_OTHER = "меня зовут|我叫|私は|اسمي|मेरा नाम|ชื่อ".split("|")
-_SIGN_OFF = "thanks,|thank you,|regards,|best,|cheers,|sincerely,|cordialement,|saludos,|grüße|grüße,|grüsse,|gruss,|gruß,".split("|")
-_BEFORE_WEAK = "i'm|i’m|im|i am|ich bin|soy|je suis|this is|hier ist|who is|neighbour|neighbor|spoke to|spoke with|dear|call|called".split("|")
+# what a person did with something, and who a person is to somebody
+_OF_PERSON = (
+    "signed by|signed for by|taken by|accepted by|received by|collected by|picked up by|handed to|given to|left with|left it with|ask for|asked for|spoke to|spoke with|speak to|speak with|talked to|talked with|met"
+    "|colleague|neighbour|neighbor|husband|wife|mother|father|sister|brother|son|daughter|friend|flatmate|roommate|landlord|manager|supervisor|boss|assistant|kollege|kollegin|nachbar|nachbarin|voisin|voisine|collègue|vecino|vecina|vizinho|vizinha"
+).split("|")
+_SELF = "i'm|i’m|im|i am|this is|ich bin|hier ist|je suis|soy|sou".split("|")
+_MAY_BE = "who is|dear|call|called".split("|")
+_BEFORE_OTHER = "меня зовут|私は|اسمي|मेरा नाम|ชื่อ".split("|")
+_SIGN_OFF = "thanks|thank you|regards|best|cheers|sincerely|cordialement|saludos|grüße|grüsse|gruss|gruß".split("|")
+# Frequent Chinese family names, and what a name is given with.
+_HAN_FAMILY = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文欧阳"
+_HAN_LEAD = "我叫|名字是|名字叫|姓名"
+# Endings that words have and names seldom; names in small letters may not have them.
+_WORDY = regex.compile(r"(?:ing|ed|ly|ous|ful|able|ible|ive|tion|sion|ness|ment|less|ish|est|ity)$")
 
 
 def _trie(phrases: list[str]) -> str:
@@ -56,20 +72,28 @@ def _trie(phrases: list[str]) -> str:
     return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
-# What stands behind a name.
-_AFTER = r"\s*(?:and i want|and why did|again\b|here,? (?:still|again|and)|still waiting|promised to|instead\b|at the door|,? no idea who|speaking\b|is my name|told me|hier\b|signed\b)"
+# How a sentence goes on behind a name: of somebody who introduces oneself, and of somebody else.
+_SELF_ON = r"(?:and (?:i|we|my)\b|again\b|here\b|hier\b|ici\b|aquí\b|speaking\b|writing\b|is my name)"
+_DOES = "said says told tells promised called calls wrote writes signed answered asked refused took accepted confirmed claimed claims explained replied insisted lives works sagte fragte schrieb versprach dijo disse".split()
+_OTHER_ON = rf"(?:and (?:why|how|what|who|where|when|did|does|said|told)\b|instead\b|next door\b|at (?:the|your|our|number)\b|(?:from|in) (?:the|your|our)\b|,? (?:no idea|whoever|who)\b|(?:{'|'.join(_DOES)})\b)"
 _LEFT = r"(?<![\p{L}\p{N}])"
-_NAME_STRONG = regex.compile(rf"(?:{_LEFT}{_trie(_BEFORE_STRONG)}|{'|'.join(_BEFORE_OTHER)})\.?[\s:]{{1,3}}(?P<n>{_PAIR})", regex.I)
-_NAME_WEAK = regex.compile(rf"{_LEFT}(?:(?P<off>{_trie(_SIGN_OFF)})|{_trie(_BEFORE_WEAK)})[\s:]{{1,3}}(?:(?:mr|mrs|ms|miss|dr)\.?\s)?(?P<n>{_PAIR})", regex.I)
-_BEHIND = "here, still|here still|here again|here, again|here and|here, and|promised to|and why did|is my name|speaking".split("|")
-_NAME_AFTER = regex.compile(rf"(?<![\p{{L}}\p{{N}}@#_.'’\-])(?P<n>{_PAIR})(?=\s*{_trie(_BEHIND)}\b)", regex.I)
-_HAS_BEFORE = regex.compile(rf"{_LEFT}{_trie(_BEFORE_STRONG + _SIGN_OFF + _BEFORE_WEAK)}\.?[\s:]")
-_HAS_OTHER = regex.compile("|".join(_BEFORE_OTHER))
-_HAS_BEHIND = regex.compile(rf"\s{_trie(_BEHIND)}\b")
+_NAME_STRONG = regex.compile(rf"(?:{_LEFT}{_trie(_SAYS_NAME)}|{'|'.join(_BEFORE_OTHER)})\.?[\s:]{{1,3}}(?P<n>{_PAIR})", regex.I)
+_NAME_WEAK = regex.compile(rf"{_LEFT}(?:(?P<off>{_trie(_SIGN_OFF)}(?:,|(?=\s*\n)))|(?P<of>{_trie(_OF_PERSON)})|(?P<self>{_trie(_SELF)})|{_trie(_MAY_BE)})[\s:]{{1,3}}(?:(?:mr|mrs|ms|miss|dr)\.?\s)?(?P<n>{_PAIR})", regex.I)
+# somebody who gives the name first, and a name that a sentence begins with or that an address follows
+_HERE = r"(?:here,? (?:still|again|and)|speaking|is my name)"
+_NAME_AFTER = regex.compile(rf"(?<![\p{{L}}\p{{N}}@#_.'’\-])(?P<n>{_PAIR})(?=\s*{_HERE}(?![\p{{L}}\p{{N}}]))", regex.I)
+_TITLED = r"\p{Lu}[\p{L}\p{M}'’\-]+"
+_NAME_DOES = regex.compile(rf"(?:^|[.!?…\n]\s*+)(?P<n>{_TITLED}\s{_TITLED})\s(?:{'|'.join(_DOES)})\b")
+_NAME_TO = regex.compile(rf"{_LEFT}(?:to|for|c/o)\s(?P<n>{_TITLED}\s{_TITLED}),\s\d{{1,4}}\p{{L}}?,?\s\p{{L}}")
+_NAME_HAN = regex.compile(rf"(?:{_HAN_LEAD})[:： ]?(?P<n>[{_HAN_FAMILY}]\p{{Han}}{{1,2}})(?!\p{{Han}})")
+_HAS_BEFORE = regex.compile(rf"{_LEFT}(?:{_trie(_SAYS_NAME + _OF_PERSON + _SELF + _MAY_BE)}\.?[\s:]|{_trie(_SIGN_OFF)}[\s,])")
+_HAS_OTHER = regex.compile("|".join([*_BEFORE_OTHER, _HAN_LEAD]))
+_HAS_HERE = regex.compile(rf"\s{_HERE}(?![\p{{L}}\p{{N}}])")
+_HAS_TITLED = regex.compile(rf"{_TITLED}\s{_TITLED}(?:\s{_trie(_DOES)}\b|,\s\d)")
 _SIX = regex.compile(r"(?<![@\d])\d(?:[ ().\-/]{0,3}\d){5}")
 _ADDRESS_HINT = regex.compile(rf"\d[A-Za-z]?,?\s+(?:\p{{L}}[\p{{L}}\p{{M}}'’\-]*\.?\s+){{1,3}}{_trie(_STREET + _COMMON_STREET)}\b|\d\s?(?:bis|ter|[a-z])?,?\s+{_trie('rue avenue boulevard chemin allée impasse quai cours'.split())}\s|\s(?=\s?\d)(?<=(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm)\s)|{_LEFT}{_trie('calle avenida avda. plaza paseo rua travessa largo via viale piazza corso'.split())}\s")
 _AT_HINT = regex.compile(r"[^\s]@|@\s|[(\[{<]\s?(?:at|@|arroba|ät|chez)\s?[)\]}>]|\s(?:at|arroba|ät)\s\S+(?:\s(?:dot|punkt|punto|point|ponto)\s|\.[a-z])")
-_AFTER_RE = regex.compile(_AFTER, regex.I)
+_SELF_RE, _OTHER_RE = regex.compile(rf"\s*{_SELF_ON}", regex.I), regex.compile(rf"\s*{_OTHER_ON}|,? {_OTHER_ON}", regex.I)
 _STOP_END = regex.compile(r"[.!]|\s*$|\n|\s{2}")
 _END = regex.compile(r"\s*(?:[.!?,;:)\n]|$|\p{So}|\s{2}|\p{Lu})")
 
@@ -230,34 +254,64 @@ def _addresses(t: str) -> Iterator[Span]:
             yield Span(*m.span("a"), "ADDRESS", 1.5 + 0.6 * _word_near(_HOME_WORD, t, *m.span("a")))
 
 
+def _parts(n: str) -> list[str]:
+    return [w for w in regex.findall(r"[\p{L}\p{M}'’\-]+", n) if len(w) > 1 and not _IS_PARTICLE.fullmatch(w)]
+
+
+_IS_PARTICLE = regex.compile(_PARTICLE)
+
+
 def _is_name(n: str) -> bool:
-    ws = [w for w in regex.findall(r"[\p{L}\p{M}'’\-]+", n) if len(w) > 1]
-    return len(ws) == 2 and not any(w.lower().replace("’", "'") in _NO_NAME for w in ws)
+    """A given and a family name, neither of them a common word nor, in small letters, of a word's shape."""
+    ws = _parts(n)
+    return len(ws) == 2 and not any(w.lower().replace("’", "'") in _NO_NAME or (w.islower() and _WORDY.search(w)) for w in ws)
+
+
+def _to_the_end(t: str, end: int) -> int:
+    """The end of a name with the capitalised parts that follow its first two."""
+    for _ in range(3):
+        m = _MORE.match(t, end)
+        if not m or m["w"].lower() in _NO_NAME:
+            break
+        end = m.end("w")
+    return end
 
 
 def _names(t: str, low: str) -> Iterator[Span]:
-    before, behind = _HAS_BEFORE.search(low) or _HAS_OTHER.search(low), _HAS_BEHIND.search(low)
-    if not before and not behind:
-        return
-    for m in _NAME_STRONG.finditer(t):
-        if _is_name(m["n"]):
-            yield Span(*m.span("n"), "NAME", 2.0)
-    for rx, score, may in ((_NAME_WEAK, 0.0, before), (_NAME_AFTER, 0.5, behind)):
-        if not may:
-            continue
-        for m in rx.finditer(t, overlapped=True):
+    """Names by what stands before and behind them, their shape, and what their words are."""
+    before = _HAS_BEFORE.search(low) or _HAS_OTHER.search(low)
+    shout = not any(c.islower() for c in t)  # then capitals tell nothing
+
+    def span(m: regex.Match, score: float) -> Span:
+        more = not shout and all(w[0].isupper() for w in _parts(m["n"]))
+        return Span(m.start("n"), _to_the_end(t, m.end("n")) if more else m.end("n"), "NAME", score)
+
+    if before:
+        for m in _NAME_STRONG.finditer(t):
+            if _is_name(m["n"]):
+                yield span(m, 2.0)
+        for m in _NAME_WEAK.finditer(t, overlapped=True):
             n = m["n"]
             if not _is_name(n):
                 continue
-            ws = [w for w in regex.findall(r"[\p{L}\p{M}'’\-]+", n) if len(w) > 1]
-            big = all(w[0].isupper() for w in ws)
-            after = bool(_AFTER_RE.match(t, m.end("n")))
-            ends = bool(_END.match(t, m.end("n")))
-            off = rx is _NAME_WEAK and m["off"] is not None
-            s = score + 0.6 * big + 1.0 * after + 0.5 * ends + 0.5 * off + (0.4 if "," in n and big else 0.0)
-            if rx is _NAME_WEAK and not off and not big and _STOP_END.match(t, m.end("n")) and regex.match(r"soy|je suis|ich bin|hier ist", m[0], regex.I):
+            big = not shout and all(w[0].isupper() for w in _parts(n))
+            on = (_SELF_RE if m["self"] else _OTHER_RE).match(t, m.end("n")) or (not m["of"] and (_SELF_RE.match(t, m.end("n")) or _OTHER_RE.match(t, m.end("n"))))
+            s = 0.6 * big + 1.0 * bool(on) + 0.5 * bool(_END.match(t, m.end("n"))) + 0.5 * (m["off"] is not None or m["of"] is not None) + (0.4 if "," in n and big else 0.0)
+            # sentences that introduce and end with the name
+            if m["self"] and not big and m["self"].lower() not in ("i'm", "i’m", "im", "i am", "this is") and _STOP_END.match(t, m.end("n")):
                 s += 0.5
-            yield Span(*m.span("n"), "NAME", s)
+            yield span(m, s)
+        for m in _NAME_HAN.finditer(t):
+            yield Span(*m.span("n"), "NAME", 1.5)
+    if _HAS_HERE.search(low):
+        for m in _NAME_AFTER.finditer(t, overlapped=True):
+            if _is_name(m["n"]):
+                yield span(m, 1.5)
+    if not shout and _HAS_TITLED.search(t):
+        for rx in (_NAME_DOES, _NAME_TO):
+            for m in rx.finditer(t):
+                if _is_name(m["n"]):
+                    yield span(m, 1.1)
 
 
 def find_spans(text: str | None) -> list[Span]:
@@ -269,8 +323,10 @@ def find_spans(text: str | None) -> list[Span]:
     found: list[Span] = []
     if _AT_HINT.search(low):
         found += _emails(t)
-    if _SIX.search(t):
+    six = _SIX.search(t)
+    if six or _PASS_WORD.search(low):
         found += _identities(t)
+    if six:
         found += _phones(t)
     if _ADDRESS_HINT.search(low):
         found += _addresses(t)
@@ -301,11 +357,12 @@ def plain(text: Column) -> Column:
     return F.lower(F.when(ascii_only, text).otherwise(F.translate(text, "".join(map(chr, _WIDE)), "".join(map(chr, _WIDE.values())))))
 
 
-def gate(low: Column) -> Column:
-    """Whether a text, read by `plain`, can hold a span: the hints of the kinds, each a necessary condition."""
+def gate(text: Column, low: Column) -> Column:
+    """Whether a text, `low` as read by `plain`, can hold a span: the hints of the kinds, each a necessary condition."""
     java = lambda rx: rx.pattern.replace("(?<![@\\d])", "(?<![@0-9])")
     wide = F.length(low) != F.octet_length(low)
-    return low.rlike(java(_SIX)) | low.rlike(java(_HAS_BEFORE)) | low.rlike(java(_AT_HINT)) | low.rlike(java(_HAS_BEHIND)) | low.rlike(java(_ADDRESS_HINT)) | (wide & low.rlike(java(_HAS_OTHER)))
+    hints = low.rlike(java(_SIX)) | low.rlike(java(_HAS_BEFORE)) | low.rlike(java(_AT_HINT)) | low.rlike(java(_HAS_HERE)) | low.rlike(java(_ADDRESS_HINT)) | low.rlike(java(_PASS_WORD))
+    return hints | text.rlike(java(_HAS_TITLED)) | (wide & low.rlike(java(_HAS_OTHER)))
 
 
 def find_pii(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
@@ -316,7 +373,7 @@ def find_pii(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """
     # the plain form is made once a text, below the generator, where the filter can't be pushed
     parts = [F.struct(F.lit(name).alias("f"), F.col(col).alias("t"), plain(F.col(col)).alias("l")) for name, col in fields.items()]
-    rows = df.select(F.col(key).cast("string").alias("k"), F.explode(F.array(*parts)).alias("p")).where(gate(F.col("p.l"))).select("k", "p.f", "p.t")
+    rows = df.select(F.col(key).cast("string").alias("k"), F.explode(F.array(*parts)).alias("p")).where(gate(F.col("p.t"), F.col("p.l"))).select("k", "p.f", "p.t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,13 +395,23 @@ def find_pii(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
 
 
 def redact_column(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the redacted text in `out`; texts that the gate keeps out are passed on by the JVM."""
+    """df with the redacted text in `out`; texts that the gate keeps out are passed on as they are.
 
-    workers_import(df.sparkSession)
+    Rows and their other columns come out as given, in one pass over Arrow batches; null and empty texts stay.
+    """
+    at, schema = df.columns.index(text), df.withColumn(out, F.col(f"`{text}`")).schema
+    place = schema.fieldNames().index(out)
+    rows = spread(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), f"c{at}")
+    # a generator over one element keeps the plain form from being worked out once a use
+    lowered = rows.select("*", F.explode(F.array(F.struct(plain(F.col(f"c{at}")).alias("l")))).alias("low"))
+    gated = lowered.select(*rows.columns, F.coalesce(gate(F.col(f"c{at}"), F.col("low.l")), F.lit(False)).alias("open"))
+    inner = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema.fields)])
 
-    @F.pandas_udf("string")
-    def masked(s):  # noqa: ANN001, ANN202
-        return s.map(redact)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown = [redact(t) if o else t for t, o in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            columns = list(batch.columns[:-1])
+            columns[place:place + 1] = [pa.array(shown, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=inner.fieldNames())
 
-    shut = ~F.coalesce(gate(plain(F.col(text))), F.lit(False))
-    return df.withColumn(out, F.when(shut, F.col(text)).otherwise(masked(F.when(shut, None).otherwise(F.col(text)))))
+    return gated.mapInArrow(run, inner).toDF(*schema.fieldNames())
