@@ -92,6 +92,8 @@ def _alt(words: list[str]) -> str:
 
 # Conditions at a candidate that a rule may need.
 CLOSED, BRACKET, QUOTE, START, INNER, SAID, KANA, NO_KANA, MIXED, EMOJI, EAST, INDIC, ELLIPSIS, DOTS, STRONG, POINT = (1 << i for i in range(16))
+# White space follows or doesn't; the word before a lone point is short or named by the languages' rules; emoji or the like close.
+SPACED, TIGHT, LISTED, CLOSERS = (1 << i for i in range(16, 20))
 
 
 class Rule:
@@ -147,19 +149,18 @@ def _language_table(lang: str) -> list[Rule]:
 #: Rules of all scripts, asked last. `before` ends with the mark and what closes behind it.
 _GENERAL = [
     # initials and letters with points
-    Rule(False, r"(?<![\p{L}\p{N}'’])\p{Lu}\.", rf"(?:{_SP})?\p{{L}}"),
-    # a point that more letters or digits follow at once
-    Rule(True, rf"(?:\p{{Ll}}\p{{Ll}}|\p{{N}}|\p{{Lu}}\p{{Lu}}|[)\]»”\"])[.!?…]+(?:[{_CLOSE}]|{_EMOJI})*", r"[¿¡\"“«„(]?\p{Lu}[\p{Ll}\p{M}'’ ]"),
-    Rule(True, rf"[!?…]+(?:[{_CLOSE}]|{_EMOJI})*", r"[¿¡]?\p{Lu}"),
-    Rule(True, rf"(?:{_EMOJI})", r"[^\s\p{P}]"),
-    Rule(False, r"", r"[^\s]"),
+    Rule(False, r"(?<![\p{L}\p{N}'’])\p{Lu}\.", rf"(?:{_SP})?\p{{L}}", needs=LISTED),
+    # a mark that more letters or digits follow at once
+    Rule(True, rf"(?:\p{{Ll}}\p{{Ll}}|\p{{N}}|\p{{Lu}}\p{{Lu}}|[)\]»”\"])[.!?…]+(?:[{_CLOSE}]|{_EMOJI})*", r"[¿¡\"“«„(]?\p{Lu}[\p{Ll}\p{M}'’ ]", needs=TIGHT),
+    Rule(True, rf"[!?…]+(?:[{_CLOSE}]|{_EMOJI})*", r"[¿¡]?\p{Lu}", needs=TIGHT),
+    Rule(True, rf"(?:{_EMOJI})", r"[^\s\p{P}]", needs=TIGHT | CLOSERS),
+    Rule(False, "", "", needs=TIGHT),
     # dots of omission go on with a small letter, and in scripts without case
     Rule(False, r"(?:\.{2,}|…)", rf"{_SP}(?:\p{{Ll}}|[؀-ۿऀ-ॿ฀-๿])"),
     # a final mark with what closes behind it
-    Rule(False, r"[,;:]", rf"{_SP}"),
-    Rule(False, r"\.", rf"{_SP}[,;:)]"),
-    Rule(False, rf"[^{_CLOSE}\s]\.", rf"{_SP}\p{{Ll}}"),
-    Rule(True, r"", rf"{_SP}"),
+    Rule(False, r"\.", rf"{_SP}[,;:)]", needs=POINT),
+    Rule(False, rf"[^{_CLOSE}\s]\.", rf"{_SP}\p{{Ll}}", needs=POINT),
+    Rule(True, "", ""),
 ]
 
 #: Asked before all others of a language: a letter with a point that another one follows (z. B., p. ex., U.S.).
@@ -249,12 +250,16 @@ _SCRIPTS = [(regex.compile(r"\p{Cyrillic}"), "ru"), (regex.compile(r"\p{Devanaga
 
 
 @lru_cache(maxsize=None)
-def _rules(names: tuple[str, ...], have: int, small: bool, listed: bool) -> list[Rule]:
-    """The rules that can hold under the conditions `have`, in order. Without `listed`, whether the word before a lone
-    point is one that the languages' rules name, none of theirs can match."""
-    lang = _FIRST + [r for n in names for r in _TABLES[n]] if listed else []
+def _rules(names: tuple[str, ...], have: int, small: bool) -> list[Rule]:
+    """The rules that can hold under the conditions `have`, in order, each once. Those of the languages need LISTED."""
+    lang = _FIRST + [r for n in names for r in _TABLES[n]] if have & LISTED else []
     every = _CLOSED + _MARK + (_SMALL_FIRST + [r for r in lang if not r.break_] + _SMALL_LAST if small else lang + _STRONG + _GENERAL)
-    return [r for r in every if not r.needs & ~have]
+    pattern = lambda rx: rx and (rx.pattern, rx.flags)
+    once: dict[tuple, Rule] = {}
+    for r in every:
+        if not r.needs & ~have:
+            once.setdefault((r.break_, pattern(r.before), pattern(r.after), r.needs), r)
+    return list(once.values())
 
 
 def _last_words() -> frozenset[str]:
@@ -277,6 +282,18 @@ def _listed(block: str, begin: int, mark: int) -> bool:
     return len(word) <= 2 or word.lower() in _LAST
 
 
+_TOKEN, _TOKEN_BACK = regex.compile(r"\S*+"), regex.compile(r"(?r)\S*+")
+
+
+def _links(block: str) -> list[tuple[int, int]]:
+    """(start, end) of links, addresses and file names, without marks behind them. None holds white space."""
+    out, at = [], 0
+    while m := _MAY_LINK.search(block, at):
+        a, at = _TOKEN_BACK.match(block, at, m.start()).start(), _TOKEN.match(block, m.end()).end()
+        out += [(u.start(), u.start() + len(u[0].rstrip(".,!?;:)\"'"))) for u in _URL.finditer(block, a, at)]
+    return out
+
+
 _PAIRED = regex.compile(r"[()\[\]{}（）［］｛｝「」『』《》〈〉【】«»“”‘’„‚‹›\"']")
 
 
@@ -340,7 +357,7 @@ def _block(block: str, hint: str | None) -> Iterator[int]:
     small = not _HAS_BIG.search(block)
     mixed = MIXED if not small and _HAS_SMALL.search(block) else 0
     kana = None
-    urls = [(m.start(), m.start() + len(m[0].rstrip(".,!?;:)\"'"))) for m in _URL.finditer(block)] if _MAY_LINK.search(block) else []
+    urls = _links(block)
     spans = _spans(block)
     item = _FIRST_ITEM.match(block)
     low_quotes = "„" in block or "‚" in block  # only then “ and ‘ close a quotation
@@ -391,7 +408,11 @@ def _block(block: str, hint: str | None) -> Iterator[int]:
             if kana is None:
                 kana = KANA if _HAS_KANA.search(block) else NO_KANA
             have |= kana | (EMOJI if closers and _IS_EMOJI.search(closers) else 0)
-        rules = _rules(names, have, small and block[end].isspace(), m["m"] == "." and end == mark + 1 and _listed(block, begin, mark))
+        spaced = block[end].isspace()
+        have |= (SPACED if spaced else TIGHT) | (CLOSERS if closers else 0)
+        if ch == "." and m["m"] == "." and end == mark + 1 and _listed(block, begin, mark):
+            have |= LISTED
+        rules = _rules(names, have, small and spaced)
         if next(r for r in rules if r.holds(block, begin, end, end)).break_:
             yield end
             begin, first = end, _SPACES.match(block, end).end()
