@@ -3,8 +3,9 @@
 Each delimiter style has a grammar of its own (what may stand between the delimiters of an unfilled placeholder),
 whole-text and in-text patterns find printed empty values, filler, drafting notes, error output and notices about
 scripts. A find is discounted where the context shows that the text talks about such things: quoted, inside a code
-block, or in a sentence that explains; density then decides for texts that are mostly such material. Every rule is a
-column expression, so the operator is one projection without a shuffle or Python.
+block, or in a sentence that explains or teaches. Density decides against the discount: in a text that is mostly quote
+or code, and in a sentence that is mostly placeholders. Every rule is a column expression, so the operator is one
+projection without Python; the shuffle that makes rows distinct spreads them.
 """
 
 from __future__ import annotations
@@ -77,24 +78,29 @@ ERRORS = [
 SCRIPTS = [
     ("enable", r"(?i)\b(?:please |you need to |you must )?\s*(?:enable|activate|turn on|switch on|allow)\s+(?:javascript|java script|scripting|scripts|cookies)\b.{0,60}\b(?:to (?:continue|run|view|use|see|proceed|access)|in your browser to|and (?:cookies|refresh|reload))|\bjavascript (?:is )?(?:required|disabled|must be enabled|needs to be)"),
     ("off", r"(?i)\byour browser (?:has (?:scripts|javascript|cookies) (?:turned off|disabled|switched off)|is not supported|is unsupported|is (?:out of date|outdated)|does(?:n'?t| not) support)|\bscripts? (?:are|is) disabled\b|\bthis (?:page|site) (?:needs|requires|works best with) (?:scripts|javascript|cookies)|\bscripting seems to be blocked\b|\bscripts switched on\b"),
-    ("cookies", r"(?i)\bwe use cookies\b|\baccept (?:all )?cookies to\b|\bcookies (?:are|must be) (?:required|enabled|disabled)\b|\baccept all to continue\b"),
+    ("cookies", r"(?i)\bwe use cookies(?:\s*(?:[.!;:]|$)|\s+(?:to|on (?:this|our) (?:web)?(?:site|page)|and (?:similar|other))\b)|\baccept (?:all )?cookies to\b|\bcookies (?:are|must be) (?:required|enabled|disabled)\b|\baccept all to continue\b"),
     ("checking", r"(?i)\bchecking your browser before\b|\bverify(?:ing)? (?:that )?you are (?:a )?human\b|\bcomplete the captcha\b"),
     ("other", r"(?i)\b(?:activez|activer) (?:java ?script|les cookies)\b|\b(?:aktivieren sie|bitte) (?:java ?script|cookies)\b.{0,30}|\bjavascript (?:aktivieren|zu aktivieren)\b|\b(?:habilite|active|activa) (?:java ?script|las cookies|os cookies)\b|\bative o javascript\b"),
 ]
 
-#: Context that shows the text to talk about such a thing: the find is quoted, or its sentence explains it.
-_EXPLAINS = r"(?i)\b(?:the .{0,20}(?:you saw|page means|came from|that you)|means the item|came from the old|if the button|reads '|showed \"|printed|says?|called|for example|e\.g\.|such as|is greyed out|in your browser settings|while you were|brings the form back|is not your item)\b|\[sic\]"
+# A sentence that gives an example or says what something means talks about such things.
+_EXPLAINS = r"(?i)\b(?:for example|for instance|e\.g\.|such as|means (?:that|the|your)|zum beispiel|z\. ?b\.|par exemple|por ejemplo|por exemplo)|\[sic\]"
 
-#: A sentence that teaches about placeholders, and how long a text with a lone one is that may hold it.
-_TEACHES = r"(?i)\b(?:placeholders?|templates?|variables?|merge (?:fields?|tags?)|syntax|tutorial|snippets?|(?:curly |square )?(?:braces|brackets)|platzhalter|vorlagen?|plantillas?|modèles?)\b"
-LONG, LONE = 300, 40
+# A sentence that teaches about placeholders, and one that describes where or how a number is written.
+_TEACHES = r"(?i)\b(?:placeholders?|templates?|variables?|merge (?:fields?|tags?)|syntax|tutorials?|snippets?|(?:curly |square )?(?:braces|brackets)|platzhalter|vorlagen?|plantillas?|modèles?)\b"
+_DESCRIBES = r"(?i)\b(?:on|at|under) the (?:back|bottom|side|top|front|inside|label|box|card|lid|plate|receipt|invoice|sticker|package|parcel)\b|\blooks? like\b|\bin the form(?:at)?\b|\b(?:starts?|begins?|ends?) (?:with|in)\b|\b(?:digits?|characters?) (?:long|after|before)\b"
+_TELLS = r"(?i)\b(?:type|write|use|put|insert|enter|replace|set|add|copy|paste|fill|shows?|called|named|stands? for|schreiben|verwenden|escrib\w+|usa|écri\w+|utilis\w+)\b"
+#: Share of a sentence that its placeholders may take where it teaches about them.
+MOST = 0.5
+#: Share of a text that must stand outside code and quotes for these to be discounted.
+REST = 0.2
 
 
 def _without_code(text: Column) -> Column:
     """The text without fenced and inline code and without quoted pieces, which only mention what they hold."""
     x = F.regexp_replace(text, r"(?s)```.*?```|~~~.*?~~~", " ")
-    x = F.regexp_replace(x, r"`[^`\n]{1,200}`", " ")
-    return F.regexp_replace(x, r"\"[^\"{}<>\n]{1,80}\"(?!\s*:)|“[^”\n]{1,80}”|(?<!\w)'[^'\n]{3,80}'(?!\w)", " ")
+    x = F.regexp_replace(x, r"`[^`\n]++`", " ")
+    return F.regexp_replace(x, r"\"[^\"{}<>\n]++\"(?!\s*:)|“[^”\n]++”|(?<!\w)'[^'\n]{3,}+'(?!\w)", " ")
 
 
 def _sentences(text: Column) -> Column:
@@ -112,22 +118,46 @@ def _hammered(text: Column) -> Column:
     return again | letter | keys
 
 
+def _stripped(text: Column) -> Column:
+    return reduce(lambda acc, p: F.regexp_replace(acc, p[1], ""), PLACEHOLDERS, text)
+
+
+def _taught(sentence: Column) -> Column:
+    """Whether a sentence teaches about placeholders and isn't mostly made of them, or describes a number."""
+    rest = _stripped(sentence)
+    teaches = sentence.rlike(_TEACHES) & sentence.rlike(_TELLS) & rest.rlike(_TEACHES) & (F.length(rest) >= (1 - MOST) * F.length(sentence))
+    return teaches | (sentence.rlike(_DESCRIBES) & ~sentence.rlike(_DELIMITED))
+
+
+# a placeholder with delimiters, other than a row of crosses or lines
+_DELIMITED = "|".join(f"(?:{p})" for n, p in PLACEHOLDERS if n not in ("crosses", "underscores"))
+
+
+def _let(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _forms(text: Column) -> Column:
-    """A text as the rules read it: trimmed; without code and quotes, unless they are most of it; of that, the
-    sentences that explain nothing; and where unfilled places are looked for, without those that teach about a lone one."""
-    whole = F.trim(F.coalesce(text, F.lit("")))
-    cut = _without_code(whole)
-    # where code and quotes are most of the text they are its content, unless they show little but a placeholder
-    loose = F.when((F.length(F.trim(cut)) * 2 < F.length(whole)) & (density(whole) < 0.5), whole).otherwise(cut)
-    plain = F.array_join(F.filter(_sentences(loose), lambda s: ~s.rlike(_EXPLAINS)), "\n")
-    untaught = F.array_join(F.filter(_sentences(loose), lambda s: ~s.rlike(_TEACHES)), "\n")
-    slots = F.when((F.length(loose) >= LONG) & loose.rlike(_TEACHES) & (density(loose) * F.length(loose) <= LONE), untaught).otherwise(loose)
-    return F.struct(whole.alias("whole"), loose.alias("loose"), plain.alias("plain"), slots.alias("slots"))
+    """A text as the rules read it: trimmed; without code and quotes, unless little else is there; of that, the
+    sentences that explain nothing; and where unfilled places are looked for, without those that teach about them."""
+
+    def read(whole: Column, loose: Column) -> Column:
+        plain = F.array_join(F.filter(_sentences(loose), lambda s: ~s.rlike(_EXPLAINS)), "\n")
+        untaught = F.array_join(F.filter(_sentences(loose), lambda s: _let(s, lambda x: ~_taught(x))), "\n")
+        slots = F.when(loose.rlike(_TEACHES) | loose.rlike(_DESCRIBES), untaught).otherwise(loose)
+        return F.struct(whole.alias("whole"), loose.alias("loose"), plain.alias("plain"), slots.alias("slots"))
+
+    def cut(whole: Column, kept: Column) -> Column:
+        # code and quotes with little around them are the content, unless they show little but a placeholder
+        return F.when((F.length(F.trim(kept)) < REST * F.length(whole)) & ((density(whole) < MOST) | ~kept.rlike(r"\p{L}")), whole).otherwise(kept)
+
+    return _let(F.trim(F.coalesce(text, F.lit(""))), lambda w: _let(_let(_without_code(w), lambda k: cut(w, k)), lambda x: read(w, x)))
 
 
 def residue_kinds(text: Column) -> Column:
     """Sorted names of all kinds found in a text, empty for none; null and empty texts have none."""
-    return _kinds(_forms(text))
+    return _let(_forms(text), _kinds)
 
 
 def _kinds(forms: Column) -> Column:
@@ -150,8 +180,7 @@ def _kinds(forms: Column) -> Column:
 def density(text: Column) -> Column:
     """Share of the text's characters that placeholders take."""
     whole = F.coalesce(text, F.lit(""))
-    left = reduce(lambda acc, p: F.regexp_replace(acc, p[1], ""), PLACEHOLDERS, whole)
-    return F.when(F.length(whole) > 0, 1 - F.length(left) / F.length(whole)).otherwise(0.0)
+    return F.when(F.length(whole) > 0, 1 - F.length(_stripped(whole)) / F.length(whole)).otherwise(0.0)
 
 
 def find_residue(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -160,7 +189,11 @@ def find_residue(df: DataFrame, key: str, text: str) -> DataFrame:
     Null and empty texts are no case. A tutorial that shows placeholders in code blocks or quotes them is none
     either. Repeated rows count once; other columns play no part; an empty table gives no rows.
     """
-    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length(F.trim("_t")) > 0).distinct()
+    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length(F.trim("_t")) > 0)
+    # a shuffle of a stated width isn't joined into few tasks by its size, which says little about the work
+    spark = df.sparkSession
+    width = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.distinct().repartition(width, "_k", "_t")
     # a generator over one element keeps what is below it from being worked out once a use
     forms = rows.select("_k", F.explode(F.array(_forms(F.col("_t")))).alias("f"))
     return forms.select(F.col("_k").alias(key), F.explode(F.array(_kinds(F.col("f")))).alias("kinds")).where("size(kinds) > 0")
