@@ -178,3 +178,29 @@ def rule_labels(c: Column, rules: list[tuple[str, str]], suppress: dict[str, str
 def flag_list(flags: list[tuple[str, Column]]) -> Column:
     """Names of the conditions that hold, in order, each once; a null condition doesn't hold."""
     return F.array_distinct(F.array_compact(F.array(*[F.when(cond, F.lit(n)) for n, cond in flags])))
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC with seconds; null stays null."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def titled(c: Column) -> Column:
+    """A name with underscores as words with capitals."""
+    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def zero_padded(c: Column, width: int) -> Column:
+    """A whole number with leading zeros; longer ones stay whole."""
+    t = c.cast("string")
+    return F.when(F.length(t) >= width, t).otherwise(F.lpad(t, width, "0"))
+
+
+def percent(c: Column, digits: int = 1) -> Column:
+    """A share as a percentage; a half goes to the even digit."""
+    return F.format_string(f"%.{digits}f%%", F.bround(c.cast("double") * 100, digits))
+
+
+def has_style(c: Column, markers: list[str]) -> Column:
+    """Whether a text holds one of the style markers (Java patterns); null holds none."""
+    return F.coalesce(c.rlike("|".join(f"(?:{m})" for m in markers)), F.lit(False)) if markers else F.lit(False)

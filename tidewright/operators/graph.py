@@ -21,25 +21,17 @@ def both_ways(edges: DataFrame, left: str, right: str) -> DataFrame:
     return e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*").distinct()
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, left: str, right: str, max_rounds: int = 1000) -> DataFrame:
+def reachable(seeds: DataFrame, edges: DataFrame, left: str, right: str) -> DataFrame:
     """(id) of all ids that a path leads to from `seeds` (id), through ids the vertex table may lack as well.
 
-    A frontier loop: each round joins only the ids found in the last one. Null seeds are left out.
+    Reachable is what shares a component with a seed, so the rounds grow with the logarithm of the longest path. Null
+    seeds are left out; a seed without edges is reached by itself; an empty table gives no rows.
     """
-    e = cut(both_ways(edges, left, right))
-    seen = cut(seeds.select(F.col(seeds.columns[0]).alias("id")).where("id is not null").distinct())
-    front = seen
-    found = [seen]
-    for _ in range(max_rounds):
-        step = front.select(F.col("id").alias("a")).join(e, "a").select(F.col("b").alias("id")).distinct()
-        front = cut(step.join(seen, "id", "left_anti"))
-        if not front.take(1):
-            break
-        found.append(front)
-        seen = found[0]
-        for f in found[1:]:
-            seen = seen.unionByName(f)
-    return seen
+    s = seeds.select(F.col(seeds.columns[0]).cast("string").alias("id")).where("id is not null").distinct()
+    e = edges.select(F.col(left).cast("string").alias("l"), F.col(right).cast("string").alias("r")).where("l is not null and r is not null")
+    ends = e.select(F.explode(F.array("l", "r")).alias("id"))
+    c = cut(components(s.unionByName(ends), e, "l", "r", "of"))
+    return c.join(c.join(s, "id", "left_semi").select("of").distinct(), "of", "left_semi").select("id")
 
 
 def components(vertices: DataFrame, edges: DataFrame, left: str, right: str, out: str = "component", max_rounds: int = 200) -> DataFrame:
@@ -56,11 +48,13 @@ def components(vertices: DataFrame, edges: DataFrame, left: str, right: str, out
     e = cut(both_ways(e.join(of("l", "x"), "l").join(of("r", "y"), "r"), "x", "y"))
     tied = cut(e.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
     before = None
-    for _ in range(max_rounds):
+    for r in range(max_rounds + 1):
         # labels only fall, so an equal sum means that nothing changed
         now = tied.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
+        if r == max_rounds:
+            raise RuntimeError(f"labels still fall after {max_rounds} rounds")
         before = now
         up = cut(tied.join(tied.select(F.col("v").alias("label"), F.col("label").alias("top")), "label"))
         near = cut(e.join(up.select(F.col("v").alias("b"), "top"), "b").groupBy(F.col("a").alias("v")).agg(F.min("top").alias("near")))
@@ -71,5 +65,6 @@ def components(vertices: DataFrame, edges: DataFrame, left: str, right: str, out
         for old in (tied, up, near):
             drop_cut(old)
         tied = nxt
+    drop_cut(e)
     names = tied.join(of("name", "label"), "label").select(F.col("v").alias("n"), "name")
     return numbered.join(names, "n", "left").select("id", F.coalesce("name", "id").alias(out))

@@ -38,16 +38,19 @@ def fit_text_classifier(rows: DataFrame, text: str, label: str, features: int =
     return predict
 
 
-def topics(weights: DataFrame, key: str, k: int, iterations: int = 50, seed: int = 42, most_terms: int = 25_000, tol: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def topics(weights: DataFrame, key: str, k: int, iterations: int = 50, seed: int = 42, most_terms: int | None = None, tol: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(assignments: key, topic, strength; terms: topic, term, weight) of a non-negative factorization of (key, term, weight).
 
-    Multiplicative updates: the factor of the terms (k rows of at most `most_terms` of the most frequent terms, a
-    documented bound) is sent to the tasks; each task updates its documents' factor and sends back two partial
-    products of that size, which are added up by term. Documents stay where they are. With `tol`, updates end once ten
-    of them have lowered the error by less than that share of the first one.
+    Multiplicative updates: the factor of the terms (k rows of all terms, or of the `most_terms` most frequent ones if
+    asked) is sent to the tasks; each task updates its documents' factor and sends back two partial products of that
+    size, which are added up by term. Documents stay where they are; the factor has to fit in a task, so choose terms
+    by min_df in `weights` first. With `tol`, updates end once ten of them have lowered the error by less than that
+    share of the first one.
     """
-    df = weights.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(most_terms)
-    vocabulary = df.select("term").orderBy("term").toPandas()["term"].tolist()  # at most most_terms
+    df = weights.groupBy("term").agg(F.count("*").alias("df"))
+    if most_terms is not None:
+        df = df.orderBy(F.desc("df"), "term").limit(most_terms)
+    vocabulary = df.select("term").orderBy("term").toPandas()["term"].tolist()
     spark = weights.sparkSession
     workers_import(spark)
     at = spark.createDataFrame(list(enumerate(vocabulary)), "j int, term string") if vocabulary else spark.createDataFrame([], "j int, term string")

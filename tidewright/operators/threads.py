@@ -60,13 +60,19 @@ def missing_parent(rows: DataFrame, key: str, parent: str) -> DataFrame:
 
 
 def gaps(rows: DataFrame, thread: str, at: str, key: str, days: float = 30.0) -> DataFrame:
-    """(thread, maximum_interturn_gap_days, temporal_gap_anomaly) over the readable times; 0.0 for a single one."""
-    w = Window.partitionBy(thread).orderBy(at, key)
-    known = rows.where(F.col(at).isNotNull())
-    d = (F.unix_micros(F.col(at)) - F.unix_micros(F.lag(at).over(w))) / F.lit(DAY)
-    return known.withColumn("_g", d).groupBy(thread).agg(F.coalesce(F.max("_g"), F.lit(0.0)).alias("maximum_interturn_gap_days")).withColumn(
-        "temporal_gap_anomaly", F.col("maximum_interturn_gap_days") > days
-    )
+    """(thread, maximum_interturn_gap_days, temporal_gap_anomaly) over the readable times; 0.0 for a single one.
+
+    Gaps inside ranges of (thread, time), then those between ranges: a thread of most rows is never in one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = rows.where(F.col(at).isNotNull()).select(F.col(thread), F.unix_micros(F.col(at)).alias("_t"))
+    ranged = known.repartitionByRange(n, F.col(thread), F.col("_t")).withColumn("_p", F.spark_partition_id())
+    inside = Window.partitionBy("_p", thread).orderBy("_t")
+    parts = ranged.withColumn("_g", F.col("_t") - F.lag("_t").over(inside)).groupBy(thread, "_p").agg(F.max("_g").alias("_g"), F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    # at most (number of ranges) rows a thread; ranges hold times in order
+    between = F.col("_first") - F.lag("_last").over(Window.partitionBy(thread).orderBy("_first", "_last"))
+    g = parts.withColumn("_g", F.greatest("_g", between)).groupBy(thread).agg((F.coalesce(F.max("_g"), F.lit(0)) / F.lit(DAY)).alias("maximum_interturn_gap_days"))
+    return g.withColumn("temporal_gap_anomaly", F.col("maximum_interturn_gap_days") > days)
 
 
 def conversations(rows: DataFrame, thread: str, turn: str, who: str, text: str, at: str, agent: str = "AGENT") -> DataFrame:

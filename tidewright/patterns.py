@@ -1,7 +1,4 @@
-"""Text patterns in the Java dialect of Spark and, where DuckDB's RE2 needs another spelling, in that one as well.
-
-RE2 has no look-around; a guard before a match becomes a captured prefix, and \\w, \\s and \\d are ASCII there.
-"""
+"""Text patterns in the Java dialect of Spark."""
 
 from __future__ import annotations
 

@@ -24,10 +24,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_text_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and flags of every document."""
+    """Counts and flags of every document as it is but for white space; q_enriched has those of normalized messages."""
     d = _docs(spark, sf_dir).withColumn("n", text.collapse(F.col("text")))
     m = text.text_metadata(F.col("n"))
-    return d.select("doc_id", *[m[k].alias(k) for k in ("url_count", "character_count", "token_count", "emoji_present", "question_present")])
+    return d.select("doc_id", *[m[k].alias(k) for k in ("url_count", "mention_count", "character_count", "token_count", "emoji_present", "question_present")])
 
 
 def q_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,12 +176,22 @@ def q_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best and second label of every vector by the mean vectors of the labels, with margin and confidence."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    best = prototypes(e).select("vec_id", vectors.top_two(F.transform("scores", lambda x: F.struct(F.round(x["score"], 6).alias("score"), x["label"].alias("label")))).alias("t"))
+    return best.select("vec_id", F.col("t.best.label").alias("best"), F.col("t.second.label").alias("second"), F.round("t.margin", 3).alias("margin"))
+
+
+def prototypes(e: DataFrame) -> DataFrame:
+    """(vec_id, label, scores): the dot products of every vector with the mean vectors of the labels.
+
+    The mean vectors, one a label of the taxonomy, go to the rows as one array: no shuffle of the rows. More than
+    10,000 labels are refused, as the array is sent to all tasks.
+    """
     means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     p = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    # the table of labels is as large as the taxonomy
-    s = e.select("vec_id", "embedding").crossJoin(p.select("label", vectors.l2_normalize(F.col("v")).alias("v")))
-    best = s.select("vec_id", F.struct(F.round(vectors.dot(F.col("embedding"), F.col("v")), 6).alias("score"), F.col("label")).alias("c")).groupBy("vec_id").agg(vectors.top_two(F.collect_list("c")).alias("t"))
-    return best.select("vec_id", F.col("t.best.label").alias("best"), F.col("t.second.label").alias("second"), F.round("t.margin", 3).alias("margin"))
+    one = p.agg(F.collect_list(F.struct("label", vectors.l2_normalize(F.col("v")).alias("v"))).alias("ps"))
+    few = one.select(F.when(F.size("ps") <= 10_000, F.col("ps")).otherwise(F.raise_error(F.lit("more than 10,000 labels"))).alias("ps"))
+    s = e.crossJoin(F.broadcast(few))  # one row
+    return s.select("vec_id", "label", F.transform("ps", lambda x: F.struct(vectors.dot(F.col("embedding"), x["v"]).alias("score"), x["label"].alias("label"))).alias("scores"))
 
 
 def q_tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +302,7 @@ nrm as (select id, sqrt(sum(w * w)) as n from raw group by 1), wt as (select id,
 
 ORACLE = {
     "q_text_metadata": rf"""with d as (select doc_id, {_WS.format(c='text')} as n from documents)
-select doc_id, cast(len(regexp_extract_all(n, '(?i)https?://\S+|www\.\S+')) as integer) as url_count, cast(length(n) as integer) as character_count, cast(case when n = '' then 0 else len(string_split(n, ' ')) end as integer) as token_count,
+select doc_id, cast(len(regexp_extract_all(n, '(?i)https?://\S+|www\.\S+')) as integer) as url_count, cast(len(regexp_extract_all(n, '(^|[^0-9A-Za-z_])@[0-9A-Za-z_]+')) as integer) as mention_count, cast(length(n) as integer) as character_count, cast(case when n = '' then 0 else len(string_split(n, ' ')) end as integer) as token_count,
 regexp_matches(n, '[\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}]') as emoji_present, contains(n, '?') as question_present from d""",
     "q_rule_labels": f"""with r as (select example_id, list_filter([{_RULE_CASES}], lambda x: x is not null) as v from golden_set)
 select example_id, array_to_string(case when list_contains(v, 'courier') then list_filter(v, lambda x: x <> 'delivery') else v end, ',') as labels from r""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["packed_queries", "relational", "analytics", "model_queries"]
+MODULES = ["packed_queries", "relational", "analytics", "model_queries", "label_queries"]
 
 
 def _gather(attr: str) -> dict:

@@ -60,7 +60,7 @@ def q_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest pause between the messages of each author, and whether it exceeds 30 days."""
-    g = threads.gaps(messages(spark, sf_dir).where("role = 'CUSTOMER'"), "author", "at", "tweet_id")
+    g = threads.gaps(messages(spark, sf_dir), "author", "at", "tweet_id")
     return g.select("author", F.round("maximum_interturn_gap_days", 6).alias("gap_days"), "temporal_gap_anomaly")
 
 
@@ -301,7 +301,7 @@ select * from t where not exists (select 1 from t x where x.thread_id = t.thread
     "q_turns": f"""with {SQL_MESSAGES}
 select parent, tweet_id, cast(row_number() over (partition by parent order by ts asc nulls last, tweet_id) as integer) as turn_number from m where parent is not null""",
     "q_gaps": f"""with {SQL_MESSAGES},
-g as (select author, (epoch_us(ts) - epoch_us(lag(ts) over (partition by author order by ts, tweet_id))) / 86400000000.0 as g from m where role = 'CUSTOMER' and ts is not null)
+g as (select author, (epoch_us(ts) - epoch_us(lag(ts) over (partition by author order by ts, tweet_id))) / 86400000000.0 as g from m where ts is not null)
 select author, round(coalesce(max(g), 0.0), 6) as gap_days, coalesce(max(g), 0.0) > 30 as temporal_gap_anomaly from g group by author""",
     "q_rollup": f"""with {SQL_MESSAGES},
 t as (select *, row_number() over (partition by parent order by ts asc nulls last, tweet_id) as n from m where parent is not null)

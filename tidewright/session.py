@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,16 +33,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one of our own only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a local one of our own, which only
+    a local master can do with: on a cluster each executor would write to its own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("tidewright.local.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         at = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("tidewright.local.dir", at)
     return at.rstrip("/")
 
 
+#: Open scratches, the innermost last, each a list of the folders of its cuts.
+_OPEN: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -48,16 +58,41 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.option("compression", "snappy").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if _OPEN:
+        _OPEN[-1].append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files of a cut that nothing reads any more."""
     path = getattr(df, "_cut_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: list[DataFrame] | None = None) -> Iterator[list[DataFrame]]:
+    """Remove at the end all cuts made inside but those of the DataFrames in the list it gives.
+
+    Operators close one around rounds whose tables nothing reads any more; around a whole query and the writing of its
+    result, it leaves the shared folder as it was.
+    """
+    kept = [] if keep is None else keep
+    _OPEN.append([])
+    try:
+        yield kept
+    finally:
+        stay = {getattr(df, "_cut_path", None) for df in kept}
+        for path in _OPEN.pop():
+            if path not in stay:
+                _delete(spark, path)
+            elif _OPEN:
+                _OPEN[-1].append(path)
 
 
 def default_sf_dir(sf: str) -> str:

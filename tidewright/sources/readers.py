@@ -18,15 +18,15 @@ def strings(names: list[str]) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
-def read_csv_strings(spark: SparkSession, path: str, names: list[str], exact: bool = False) -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str, names: list[str], exact: bool = False, breaks: bool = True) -> DataFrame:
     """A CSV with a header, every field as text, quotes doubled, line breaks inside quotes allowed.
 
     The header is checked: all of `names` must be there, or exactly these in this order. Bytes that aren't UTF-8 are
-    replaced by U+FFFD.
+    replaced by U+FFFD. A file with line breaks inside quotes is one task; without them (`breaks` false) files are split.
     """
-    head = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    head = spark.read.option("header", True).option("multiLine", breaks).option("escape", '"').csv(path)
     require_columns(head, names, exact)
-    return spark.read.schema(strings(head.columns)).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path).select(*names)
+    return spark.read.schema(strings(head.columns)).option("header", True).option("multiLine", breaks).option("escape", '"').option("mode", "PERMISSIVE").csv(path).select(*names)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -74,18 +74,18 @@ def read_vectors(spark: SparkSession, path: str, vector: str, dimensions: int) -
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, size, sha256) of files."""
+    """(path, size_bytes, sha256, pointer) of files; a pointer is a short text that stands for a file kept elsewhere."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return f.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return f.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.coalesce(F.substring(F.decode(F.substring("content", 1, 40), "utf-8"), 1, 40).startswith("version https://git-lfs"), F.lit(False)).alias("pointer"))
 
 
 def verify_manifest(files: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
     """(path, problem) for manifest rows (path, size_bytes, sha256): escapes, repeats, absence, size, hash, pointers."""
-    f = files.select(F.expr(f"regexp_replace(path, '^(file:)?/*{root.strip('/')}/', '')").alias("path"), F.col("size_bytes").alias("_size"), F.col("sha256").alias("_sha"))
+    f = files.select(F.regexp_replace("path", r"^(file:)?/*\Q" + root.strip("/") + r"\E/", "").alias("path"), F.col("size_bytes").alias("_size"), F.col("sha256").alias("_sha"), (F.col("pointer") if "pointer" in files.columns else F.lit(False)).alias("_pointer"))
     m = manifest.withColumn("_n", F.expr("count(*) over (partition by path)")).join(f, "path", "left")
     p = F.array_compact(F.array(
         F.when(F.col("path").rlike(r"(^|/)\.\.(/|$)|^/"), "path escapes the root"), F.when(F.col("_n") > 1, "listed twice"), F.when(F.col("_size").isNull(), "missing"),
-        F.when(F.col("_size") != F.col("size_bytes"), "other size"), F.when(F.col("_sha") != F.lower("sha256"), "other content"),
+        F.when(F.col("_size") != F.col("size_bytes"), "other size"), F.when(F.col("_sha") != F.lower("sha256"), "other content"), F.when(F.col("_pointer"), "a pointer, not the file"),
     ))
     return m.select("path", F.explode(p).alias("problem")).distinct()
 

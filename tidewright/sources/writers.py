@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -21,28 +23,46 @@ def write_atomic(df: DataFrame, path: str, form: str = "parquet", **options: str
     stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
     options = {"header": "true"} | options if form == "csv" else options
     sp, fs = _fs(df, stage)
+    seen = Observation()
     try:
-        df.write.format(form).options(**options).save(stage)
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(form).options(**options).save(stage)
         rows = df.sparkSession.read.format(form).options(**options).schema(df.schema).load(stage).count()
-        if rows != df.count():
-            raise RuntimeError(f"{rows} rows read back")
+        if rows != seen.get["rows"]:
+            raise RuntimeError(f"{rows} of {seen.get['rows']} rows read back")
     except BaseException:
         fs.delete(sp, True)
         raise
     target, _ = _fs(df, path)
     old, _ = _fs(df, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
     had = fs.exists(target)
-    if had:
-        fs.rename(target, old)
-    fs.rename(sp, target)
+    if had and not fs.rename(target, old):
+        fs.delete(sp, True)
+        raise RuntimeError(f"{path} can't be moved away")
+    if not fs.rename(sp, target):
+        if had:
+            fs.rename(old, target)
+        raise RuntimeError(f"{stage} can't be moved to {path}")
     if had:
         fs.delete(old, True)
     return rows
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """Parquet with one folder a value of `by`; rows of a value are gathered first, so that files are few."""
-    df.repartition(by).write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
+    """Parquet with one folder a value of `by`; rows are ranged by the value and a hash, so that files are few and a
+    value of most rows is spread over many tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, F.col(by), F.xxhash64(*df.columns)).write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A small result (at most a report) as one JSON file: written beside it first, then moved into place."""
+    doc = [r.asDict(recursive=True) for r in rows.collect()]
+    stage = f"{path}.stage-{uuid.uuid4().hex}"
+    with open(stage, "w", encoding="utf-8") as f:
+        json.dump(doc, f, ensure_ascii=False, indent=2, default=str)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(stage, path)
 
 
 def append_audit(events: DataFrame, path: str) -> None:
