@@ -6,9 +6,11 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, drop_cut
+
 
 def _fs(df: DataFrame, path: str):  # noqa: ANN202
     p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
@@ -23,15 +25,17 @@ def write_atomic(df: DataFrame, path: str, form: str = "parquet", **options: str
     stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
     options = {"header": "true"} | options if form == "csv" else options
     sp, fs = _fs(df, stage)
-    seen = Observation()
+    source = cut(df)  # worked out once, so that both counts are of the same rows
     try:
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(form).options(**options).save(stage)
-        rows = df.sparkSession.read.format(form).options(**options).schema(df.schema).load(stage).count()
-        if rows != seen.get["rows"]:
-            raise RuntimeError(f"{rows} of {seen.get['rows']} rows read back")
+        source.write.format(form).options(**options).save(stage)
+        rows, want = df.sparkSession.read.format(form).options(**options).schema(df.schema).load(stage).count(), source.count()
+        if rows != want:
+            raise RuntimeError(f"{rows} of {want} rows read back")
     except BaseException:
         fs.delete(sp, True)
         raise
+    finally:
+        drop_cut(source)
     target, _ = _fs(df, path)
     old, _ = _fs(df, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
     had = fs.exists(target)
