@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id, id_order
 from ..operators.packed import account, split_packed
-from ..session import cut, drop_cut
+from ..session import cut, drop_cut, scratch
 
 
 def contract(edges: DataFrame, left: str, right: str, seed: int = 17, max_rounds: int = 200, distinct: bool = False) -> DataFrame:
@@ -72,7 +72,9 @@ def group_ids(vertices: DataFrame, key: str, edges: DataFrame, left: str, right:
     known = ids.withColumnRenamed("vertex", "b")
     e = e.join(known, "b", "left_semi")
     e = e.join(known.withColumnRenamed("b", "a"), "a", "left_semi")
-    reps = cut(contract(e, "a", "b", distinct=True))
+    with scratch(vertices.sparkSession) as kept_cuts:
+        reps = cut(contract(e, "a", "b", distinct=True))
+        kept_cuts.append(reps)
     least = reps.groupBy("rep").agg(F.min(id_order(F.col("vertex")))["id"].alias("m"))
     # a representative is a vertex of its group as well
     named = reps.join(least, "rep").select("vertex", F.least(id_order(F.col("m")), id_order(F.col("rep")))["id"].alias("g"))

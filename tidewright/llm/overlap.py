@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut, workers_import
+from ..session import cut, drop_cut, scratch, workers_import
 
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 _LINK = r"(?i)\b(?:https?://|www\.)\S+"
@@ -302,8 +302,11 @@ def overlaps(eval_records: DataFrame, train_records: DataFrame, least: tuple[int
 
 def overlap_rows(eval_records: DataFrame, train_records: DataFrame, least: tuple[int, int] = (7, 10)) -> DataFrame:
     """(eval_split, eval_id, train_split, thread_id) of every overlapping pair of records, each once."""
-    pairs, e, t = overlaps(eval_records, train_records, least)
-    pairs = cut(pairs)
+    with scratch(eval_records.sparkSession) as kept_cuts:
+        pairs, e, t = overlaps(eval_records, train_records, least)
+        pairs = cut(pairs)
+        e, t = cut(e), cut(t)
+        kept_cuts += [pairs, e, t]
     return (
         pairs.select("e_cls", "t_cls")
         .join(e.select(F.col("cls").alias("e_cls"), F.col("split").alias("eval_split"), F.col("id").alias("eval_id")), "e_cls")
