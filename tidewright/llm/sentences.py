@@ -242,9 +242,11 @@ def cascade(block: str, hint: str | None) -> tuple[str, ...]:
         for script, name in _SCRIPTS:
             if script.search(block):
                 names.insert(0, name)
-    return tuple(names)
+    names_ = tuple(names)
+    return _CASCADES.setdefault(names_, names_)
 
 
+_CASCADES: dict[tuple[str, ...], tuple[str, ...]] = {}
 _HAS_LATIN = regex.compile(r"\p{Latin}{2}")
 _SCRIPTS = [(regex.compile(r"\p{Cyrillic}"), "ru"), (regex.compile(r"\p{Devanagari}"), "hi"), (regex.compile(r"\p{Arabic}"), "ar")]
 
