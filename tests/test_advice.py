@@ -4,9 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_llm import found, tweets
 from tidewright.functions import vectors
-from tidewright.llm import conversations, residue, sentences
 from tidewright.operators import packed, tfidf
 from tidewright.plans import analytics, model_queries
 
@@ -56,22 +54,6 @@ def test_near_duplicate_audit(spark, tmp_path):
     assert classes == {("c1", "c1"), ("c2", "c1"), ("g9", "c1"), ("c3", "c3"), ("c4", "c4"), ("c5", "c5"), ("c6", "c5")}
 
 
-def test_inferred_links_are_chosen_by_score(spark):
-    rows = [
-        ("1", "77", 0, "my router smells burnt", None, None),  # an opening without @
-        ("2", "Acme", 1, "@77 which router smells", None, None),
-        ("3", "Acme", 2, "@77 your lamp comes tomorrow", "900", None),
-        ("4", "77", 3, "thanks, the router smells burnt @Acme", None, None),  # shares its words with 2, not with the latest one
-        ("20", "88", 5, "nothing came", None, None), ("21", "Acme", 6, "@88 sorry", None, None), ("22", "88", 7, "sorry won't help", None, None),  # answers without @
-        ("30", "55", 3, "nothing in common", None, None),
-    ]
-    msgs = conversations.messages(tweets(spark, rows), mentions=True)
-    links = {tuple(r) for r in conversations.inferred_links(msgs).collect()}
-    assert links == {("2", "1"), ("4", "2"), ("21", "20"), ("22", "21")}
-    got = {(r[0], r[2]) for r in found(conversations.rebuild(tweets(spark, rows), infer=True))}
-    assert got == {("1", "1"), ("1", "2"), ("1", "4"), ("20", "20"), ("20", "21"), ("20", "22")}
-
-
 def test_nearest_with_response_key_and_predicate(spark):
     # a stock response holds a third of the corpus and all of the best rows
     data = [(i, [1.0 + (i % 3 == 0) * 5 + i / 100, 1.0], "stock" if i % 3 == 0 else f"r{i % 7}", "late" if i % 2 else "lost") for i in range(90)]
@@ -103,37 +85,6 @@ def test_topics_count_every_thread(spark, tmp_path):
     assert sum(n.values()) == 63 and sorted(n.values()) == sorted(20 + 3 * (k == 0) for k in range(3)) and n[0] == 23
 
 
-TUTORIAL = "Open the settings of the help desk and choose the mail you want to change. " * 5 + "In a template {{name}} stands for the name of the customer. Save it when you are done."
-
-
-@pytest.mark.parametrize(
-    ("text", "case"),
-    [
-        ("```Dear {{name}}, your refund is on its way```", True), ('"Hello [CUSTOMER NAME], your refund is on its way"', True), (TUTORIAL, False),
-        (TUTORIAL + " Dear {{first_name}}, your order {{order_number}} and refund {{refund_amount}} are here.", True),
-        ("Dear {{name}}, " + "your parcel left the depot and comes tomorrow before noon. " * 8, True),
-        ("To greet a customer by name in the mails of your shop, write `{{name}}` where the name belongs.", False),
-    ],
-)
-def test_residue_density(spark, text, case):
-    df = spark.createDataFrame([("a", text)], "id string, t string")
-    assert residue.find_residue(df, "id", "t").count() == int(case)
-
-
-def test_cascade_counts_the_whole_block():
-    spanish = "El paquete no llegó y las cajas se han roto por una caída del camión que es viejo. " * 15
-    english = "The parcel was not in the box and it is with you for the day that was set. " * 40
-    assert len(spanish) < 2000
-    rules = sentences.cascade(spanish + spanish[:700] + english, None)
-    assert rules is sentences.cascade(english + spanish, None) and rules is not sentences.cascade(spanish, None)
-
-
-def test_sentences_with_wide_space_between():
-    for space in (" " * 40, " " * 400, "\n" + " " * 60, "\t" * 50):
-        t = f"It came.{space}It was torn.{space}"
-        assert [t[a - 1 : b] for a, b in sentences.sentences(t)] == ["It came.", "It was torn."]
-
-
 def test_bare_joins_any_number_of_groups(spark):
     cells = ['"1,234,567,890,123,456,789"', '"12,345","12,346"', '12,345', '" 1,234 "', '"1,2345"', '"1234,567"', '5,"1,234,567,890,123,456",7', None]
     got = [r[0] for r in spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").orderBy("i").select(packed.bare(F.col("c"))).collect()]
