@@ -62,3 +62,38 @@ def test_fit_finds_what_looks_unsure():
 def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"é{i}") for i in range(30)] + [(99, None), (98, "plain"), (97, "é" * 5_000)], "id int, t string")
     assert len(M.sample_of(df, "t", 10)) == 10 and len(M.sample_of(df, "t")) == 30
+
+
+CLEAN = ["We're here to help, please wait", "the café «so» is 5° warm", "«yes» or «no» at 20°", "Мы ждём ответа"] * 40
+
+
+@pytest.mark.parametrize(("text", "restored"), [("“é…” twice", None), ("at 20В° today", "at 20° today"), ("GrÃ¶ÃŸe", "Größe")])
+def test_model_is_fitted_on_long_texts_too(spark, text, restored):
+    rows = [(1, "\n".join(CLEAN * 2)), (2, text), (3, None), (4, ""), (5, "plain")]
+    assert len(rows[0][1]) > M.SAMPLE_LENGTH
+    got = [tuple(r) for r in M.find_garbled(spark.createDataFrame(rows, "id int, t string"), "id", "t").select("id", "restored").collect()]
+    assert got == ([(2, restored)] if restored else [])
+
+
+def test_model_is_fitted_on_all_texts(spark):
+    texts = [*CLEAN, "GrÃ¶ÃŸe", read_as("déjà vu".encode(), "cp1252"), "yes В«pleaseВ» at 20В°", None, "", "plain", "plain"] + [f"é{i}" for i in range(M.SAMPLE + 50)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    every, one = M.fit_all(df.where("length(t) > 0"), df.where(M.gate(df["t"]))), M.fit(texts)
+    assert every.single["é"] > M.SAMPLE and every.single["p"] == sum(t.count("p") for t in texts if t)
+    assert {k: n for k, n in every.pairs.items() if n} == dict(one.pairs) and every.total == one.total
+    assert (every.enter, every.leave, every.swap) == (one.enter, one.leave, one.swap)
+    assert M.fit_all(df.limit(0), df.limit(0)) is None
+
+
+def test_characters_are_counted_across_pieces(monkeypatch):
+    text = "Größe 5 €, 漢字\n" * 30
+    whole = M.count_chars([text, None, "", "é"])
+    monkeypatch.setattr(M, "_PIECE", 7)
+    assert M.count_chars([text, None, "", "é"]) == whole and sum(whole.values()) == len(text) + 1
+    assert whole[" ", ord("é")] == 1 and whole["a", ord("ö")] == 30 and whole[" ", ord("漢")] == 30
+
+
+@pytest.mark.parametrize(("text", "case"), [("a¿", True), ("ok za¿ó³æ", True), ("x" * 50 + " Ã¶", True), ("abc\n日本 Ã¶", True), ("café", False), ("a ¿b", False), ("plain", False), ("", False), (None, False)])
+def test_gate(spark, text, case):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.where(M.gate(df["t"])).count() == int(case)

@@ -7,8 +7,8 @@ clean state's emissions are those of clean text. The likeliest path is found by
 non-ASCII characters, and each labelled span gets the inverse transform of its state, again until nothing is labelled,
 so that text garbled several times is restored as well. Where no pair explains a span better than another, it is named
 but stays as it is. Emissions and transitions start from fixed values and are fitted by expectation and maximisation on
-a bounded sample of the texts (`fit`). A gate of JVM patterns, necessary conditions of every state, keeps the other
-texts out of Python.
+all texts (`fit_all`): every character is counted, and the rounds label every text that a state may have written. A gate
+of JVM patterns, necessary conditions of every state, tells which these are.
 """
 
 from __future__ import annotations
@@ -19,20 +19,23 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import log
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, scratch, spread
 
 #: Read in: for UTF-8 that was read in a single-byte encoding.
 READ_AS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859_15", "cp1254", "cp852", "cp866", "iso8859_2", "koi8_r", "mac_cyrillic"]
 #: Of these, sequences of letters alone are parts of words as well; they say little by themselves.
 _BY_CHANCE = ("cp866", "mac_cyrillic", "koi8_r")
 LOST, UNSURE = "lost", "unsure"
-#: Texts and characters a text of the sample that the model is fitted on, and rounds of fitting.
-SAMPLE, SAMPLE_LENGTH, ROUNDS = 4_000, 4_096, 3
+#: Rounds of fitting.
+ROUNDS = 3
+#: Texts and characters a text of `sample_of`, which no query uses.
+SAMPLE, SAMPLE_LENGTH = 4_000, 4_096
 
 # Log probabilities the model starts from.
 ENTER, LEAVE, SWAP = -4.0, -1.0, -5.0
@@ -298,17 +301,22 @@ class Model:
         self.total = 0
         self.enter, self.leave, self.swap = ENTER, LEAVE, SWAP
 
-    def add(self, text: str) -> None:
-        """Count a clean text."""
-        last = " "
-        for c in text:
-            kind = _kind(c)
-            self.pairs[last, c] += 1
-            self.before[last] += 1
-            self.single[c] += 1
-            self.kinds[kind] += 1
-            self.total += 1
-            last = kind
+    def add(self, last: str, c: str, n: int = 1) -> None:
+        """Count n characters behind characters of the class `last`."""
+        self.pairs[last, c] += n
+        self.before[last] += n
+        self.single[c] += n
+        self.kinds[_kind(c)] += n
+        self.total += n
+
+    def move(self, steps: Counter, places: int) -> None:
+        """Take the transitions over from the steps of paths through so many non-ASCII characters.
+
+        They stay within a factor of e^3 of the fixed values, so that texts without garbled ones don't rule them out.
+        """
+        bound = lambda x, at: min(at + 3.0, max(at - 3.0, log(x)))
+        apart, inside = 1.0 + steps["apart"], 2.0 + steps["units"]
+        self.enter, self.leave, self.swap = bound(apart / (2.0 + places), ENTER), bound(min(1.0, apart / inside), LEAVE), bound((1.0 + steps["swap"]) / inside, SWAP)
 
     def score(self, text: str, last: str) -> float:
         """Log probability of a text behind a character of the class `last`; rarer ones fall back on their class."""
@@ -327,34 +335,97 @@ class Model:
         return self.score(u.was, last) - self.score(text[u.start : u.end], last)
 
 
+#: Characters that are counted at once.
+_PIECE = 1 << 20
+_NO_KIND = 255
+#: The classes of characters met so far by number, and the number of every character's class once it is asked for.
+_NAMES: list[str] = []
+_NUMBERS: dict[str, int] = {}
+_KIND_OF = np.full(0x110000, _NO_KIND, np.uint8)
+
+
+def _numbers(cps: np.ndarray) -> np.ndarray:
+    """The numbers of the classes of characters."""
+    out = _KIND_OF[cps]
+    if (out == _NO_KIND).any():
+        for c in np.unique(cps[out == _NO_KIND]).tolist():
+            name = _kind(chr(c))
+            if name not in _NUMBERS:
+                _NUMBERS[name] = len(_NAMES)
+                _NAMES.append(name)
+            _KIND_OF[c] = _NUMBERS[name]
+        out = _KIND_OF[cps]
+    return out
+
+
+def _pieces(texts: Iterable[str | None]) -> Iterator[tuple[str, list[int]]]:
+    """(joined pieces, where their contexts are): a character before each piece is context, a break at a text's start."""
+    parts, at, size = [], [], 0
+    for t in texts:
+        for i in range(0, len(t or ""), _PIECE):
+            at.append(size)
+            parts += [t[i - 1] if i else "\n", t[i : i + _PIECE]]
+            size += 1 + len(parts[-1])
+            if size >= _PIECE:
+                yield "".join(parts), at
+                parts, at, size = [], [], 0
+    if parts:
+        yield "".join(parts), at
+
+
+def count_chars(texts: Iterable[str | None], into: Counter | None = None) -> Counter:
+    """How often each character stands behind each class of characters, (class, code point): all characters of all texts."""
+    out = Counter() if into is None else into
+    for joined, at in _pieces(texts):
+        cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        counted = np.ones(len(cps), bool)
+        counted[at] = False
+        last, cps = _numbers(cps)[:-1][counted[1:]], cps[counted]
+        low = cps < 128
+        n = np.bincount(last[low].astype(np.int64) << 7 | cps[low])
+        here = [(k >> 7, k & 127, n[k]) for k in np.flatnonzero(n).tolist()]
+        keys, n = np.unique(last[~low].astype(np.int64) << 21 | cps[~low], return_counts=True)
+        here += [(k >> 21, k & 0x1FFFFF, m) for k, m in zip(keys.tolist(), n.tolist(), strict=True)]
+        for kind, c, m in here:
+            out[_NAMES[kind], c] += int(m)
+    return out
+
+
+def follow(text: str, model: Model | None, steps: Counter) -> str:
+    """The text restored; the units of its path, those apart from the one before and those that swap states are counted."""
+    units: list[Unit] = []
+    out = restore(text, model, units)[0]
+    last: Unit | None = None
+    for u in units:
+        touching = last is not None and u.start - last.end <= 3
+        steps["units"] += 1
+        steps["apart"] += not touching
+        steps["swap"] += touching and u.state != last.state
+        last = u
+    return out
+
+
+def _model(counts: Counter, steps: Counter, places: int) -> Model:
+    new = Model()
+    for (last, c), n in counts.items():
+        if n:
+            new.add(last, chr(c), n)
+    new.move(steps, places)
+    return new
+
+
 def fit(sample: Iterable[str | None], rounds: int = ROUNDS) -> Model | None:
-    """A model fitted to a sample of texts, garbled ones among them; nothing if the sample has no characters.
+    """A model fitted to texts at hand, garbled ones among them; nothing if they have no characters.
 
-    Each round labels the sample by the model of the round before, first by the fixed values, and counts the characters
+    Each round labels the texts by the model of the round before, first by the fixed values, and counts the characters
     of the restored texts and the transitions of the paths.
     """
     texts = [t for t in sample if t]
+    places = sum(not c.isascii() for t in texts for c in t)
     model: Model | None = None
     for _ in range(rounds if texts else 0):
-        new = Model()
-        enter = leave = swap = 1.0
-        places = inside = 2.0
-        for t in texts:
-            units: list[Unit] = []
-            new.add(restore(t, model, units)[0])
-            last: Unit | None = None
-            for u in units:
-                touching = last is not None and u.start - last.end <= 3
-                enter += not touching
-                swap += touching and u.state != last.state
-                inside += 1
-                leave += not touching
-                last = u
-            places += sum(not c.isascii() for c in t)
-        # within a factor of e^3 of the fixed values, so that a sample without garbled texts doesn't rule them out
-        bound = lambda x, at: min(at + 3.0, max(at - 3.0, log(x)))
-        new.enter, new.leave, new.swap = bound(enter / places, ENTER), bound(min(1.0, leave / inside), LEAVE), bound(swap / inside, SWAP)
-        model = new
+        steps: Counter = Counter()
+        model = _model(count_chars([follow(t, model, steps) for t in texts]), steps, places)
     return model
 
 
@@ -445,7 +516,14 @@ def restore(text: str | None, model: Model | None = None, path: list[Unit] | Non
 
 
 def _java(chars: str) -> str:
-    return "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(chars)))
+    """The characters as the inside of a class, neighbours as ranges."""
+    out: list[list[int]] = []
+    for o in sorted({ord(c) for c in chars}):
+        if out and out[-1][1] == o - 1:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in out)
 
 
 def gate(text: Column) -> Column:
@@ -459,26 +537,97 @@ def gate(text: Column) -> Column:
     sjis = "".join(c for c, b in _table("cp1252")[0].items() if 0x81 <= b <= 0x9F or 0xE0 <= b <= 0xEA)
     sjis_units = f"(?:[{_java(sjis)}][\\x{{40}}-\\x{{7e}}\\x{{80}}-\\x{{ff}}{_java(''.join(_table('cp1252')[1]))}]){{2}}"
     # single-byte runs: western letters without an ASCII letter beside them, or Cyrillic with the case turned round
-    runs = f"[À-ÿ¨¸]{{3}}|[\\x{{80}}-\\x{{ff}}{_java(''.join(_table('cp1252')[1]))}]{{3}}|[à-ú]{{2}}|[a-zà-ÿ][¿³¹±¶¼¾]|[а-яё]{{4}}.*[\\x{{462}}-\\x{{fff}}ъфцщ]|(?<!\\p{{L}})[À-ÿ¨¸]{{1,2}}[^\\p{{L}}]{{1,8}}[À-ÿ¨¸]|[а-яё][А-ЯЁ]{{2}}|[А-ЯЁ]{{3}}|[\\x{{a1}}-\\x{{ff}}]{{3}}|\\x{{fffd}}|{sjis_units}"
-    return text.rlike("[^\\x00-\\x7f]") & text.rlike("|".join([*pairs, runs]))
+    runs = f"[À-ÿ¨¸]{{3}}|[\\x{{80}}-\\x{{ff}}{_java(''.join(_table('cp1252')[1]))}]{{3}}|[à-ú]{{2}}|(?<=[a-zà-ÿ])[¿³¹±¶¼¾]|[а-яё]{{4}}.*[\\x{{462}}-\\x{{fff}}ъфцщ]|(?<!\\p{{L}})[À-ÿ¨¸]{{1,2}}[^\\p{{L}}]{{1,8}}[À-ÿ¨¸]|[а-яё][А-ЯЁ]{{2}}|[А-ЯЁ]{{3}}|[\\x{{a1}}-\\x{{ff}}]{{3}}|\\x{{fffd}}|{sjis_units}"
+    # all of them begin with a character that isn't ASCII
+    return text.rlike("[^\\x00-\\x7f]") & text.rlike(f"(?=[^\\x00-\\x7f])(?:{'|'.join([*pairs, runs])})")
 
 
 def sample_of(df: DataFrame, text: str, size: int = SAMPLE) -> list[str]:
-    """At most `size` texts with other than ASCII characters, of SAMPLE_LENGTH characters at most, by the least hashes."""
+    """At most `size` texts with other than ASCII characters, of SAMPLE_LENGTH characters at most, by the least hashes.
+
+    For a look at texts, or `fit` by hand: `find_garbled` fits its model on all texts.
+    """
     t = df.select(F.col(text).alias("_t")).where(F.col("_t").rlike(r"[^\x00-\x7f]") & (F.length("_t") <= SAMPLE_LENGTH))
     return [r["_t"] for r in t.orderBy(F.xxhash64("_t"), "_t").limit(size).collect()]
 
 
+_COUNTS = "kind string, c int, n bigint"
+
+
+def _totals(df: DataFrame) -> list[Row]:
+    """The sums of partial counts: at most one row for each class and character that there are, whatever the input."""
+    return df.groupBy("kind", "c").agg(F.sum("n").alias("n")).collect()
+
+
+def _batch(counts: Counter, steps: Counter) -> pa.RecordBatch:
+    """Counts of characters and, without a character, of steps."""
+    rows = [(k, c, n) for (k, c), n in counts.items()] + [(k, None, n) for k, n in steps.items()]
+    kinds, cs, ns = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(cs, pa.int32()), pa.array(ns, pa.int64())], names=["kind", "c", "n"])
+
+
+def count_all(texts: DataFrame) -> Counter:
+    """`count_chars` over all rows of a table of one column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            count_chars(batch.column(0).to_pylist(), counts)
+        yield _batch(counts, Counter())
+
+    return Counter({(r["kind"], r["c"]): r["n"] for r in _totals(texts.mapInArrow(run, _COUNTS))})
+
+
+def fit_all(every: DataFrame, gated: DataFrame, rounds: int = ROUNDS) -> Model | None:
+    """The model that `fit` gives for all texts of `every`, one column each; `gated` holds those of them that pass the gate.
+
+    The others are clean in each round, so their characters are counted once. Each round is a pass over `gated`, and
+    sums of whole numbers come back, the same however the rows are spread. An empty table gives no model.
+    """
+    session = every.sparkSession
+    counts = count_all(every)
+    if not counts:
+        return None
+    places = sum(n for (_, c), n in counts.items() if c > 127)
+    counts.subtract(count_all(gated))
+    model: Model | None = None
+    for _ in range(rounds):
+        shared = session.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            found: Counter = Counter()
+            steps: Counter = Counter()
+            for batch in batches:
+                count_chars((follow(t, shared.value, steps) for t in batch.column(0).to_pylist()), found)
+            yield _batch(found, steps)
+
+        found, steps = Counter(counts), Counter()
+        for r in _totals(gated.mapInArrow(run, _COUNTS)):
+            if r["c"] is None:
+                steps[r["kind"]] += r["n"]
+            else:
+                found[r["kind"], r["c"]] += r["n"]
+        shared.unpersist()
+        model = _model(found, steps, places)
+    return model
+
+
 def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, restored, states) of every row whose text was, or holds a piece that was, decoded with a wrong encoding.
 
     Null, empty and pure ASCII texts are no case. What can't be restored stays as it is in `restored`. Repeated rows
-    come out as often as given; other columns play no part; an empty table gives no rows. The model is fitted on a
-    sample of at most SAMPLE texts; then one pass, no shuffle.
+    come out as often as given; other columns play no part; an empty table gives no rows. The model is fitted on the
+    texts of all rows (`fit_all`). The rows that pass the gate are written once and read by its rounds and the last
+    pass; counts alone are shuffled.
     """
     kind = dict(df.dtypes)[key]
-    model = fit(sample_of(df, text))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # counts of characters by class: bounded by the sample
+    rows = df.select(F.col(key), F.col(text).alias("_t"))
+    with scratch(df.sparkSession) as kept:
+        gated = cut(spread(rows.where(gate(F.col("_t"))), key))
+        kept.append(gated)
+    gated = spread(gated, key)
+    model = fit_all(rows.where(F.length("_t") > 0).select("_t"), gated.select("_t"))
+    shared = df.sparkSession.sparkContext.broadcast(model)  # counts of characters by class: bounded by the alphabet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -491,5 +640,4 @@ def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
                     states.append(seen)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(texts, pa.string()), pa.array(states, pa.list_(pa.string()))], names=[key, "restored", "states"])
 
-    rows = df.select(F.col(key), F.col(text).alias("_t")).where(gate(F.col("_t")))
-    return spread(rows, key).mapInArrow(run, f"`{key}` {kind}, restored string, states array<string>")
+    return gated.mapInArrow(run, f"`{key}` {kind}, restored string, states array<string>")
