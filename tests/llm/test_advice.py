@@ -49,3 +49,22 @@ def test_sentences_with_wide_space_between():
     for space in (" " * 40, " " * 400, "\n" + " " * 60, "\t" * 50):
         t = f"It came.{space}It was torn.{space}"
         assert [t[a - 1 : b] for a, b in sentences.sentences(t)] == ["It came.", "It was torn."]
+
+
+def test_score_chooses_among_stated_links(spark):
+    rows = [
+        ("1", "77", 0, "my router smells burnt", None, None), ("2", "88", 1, "nothing came", None, None), ("3", "99", 9, "is the shop open", None, None), ("4", "99", 2, "lamp", None, None),
+        ("10", "Acme", 5, "@77 which router smells", "2", None), ("10", "Acme", 5, "@77 which router smells", "1", None),  # 1 is mentioned and shares words
+        ("11", "Acme", 5, "sorry", "3", None), ("11", "Acme", 5, "sorry", "4", None),  # 3 came later
+        ("12", "Acme", 6, "sorry", "12", None), ("12", "Acme", 6, "sorry", "2", None),  # itself
+        ("13", "Acme", 7, "bye", "900", None), ("13", "Acme", 7, "bye", "2.0", None), ("13", "Acme", 7, "bye", None, None),  # 900 is missing
+    ]
+    for given in (rows, rows[::-1]):
+        got = found(conversations.rebuild(tweets(spark, given)))
+        assert got == {("1", 1, "1", "CUSTOMER"), ("1", 2, "10", "SUPPORT"), ("4", 1, "4", "CUSTOMER"), ("4", 2, "11", "SUPPORT"), ("2", 1, "2", "CUSTOMER"), ("2", 2, "12", "SUPPORT"), ("2", 3, "13", "SUPPORT")}
+        assert {(r[0], r[2]) for r in got} == {(r[0], r[2]) for r in found(conversations.rebuild(tweets(spark, given), infer=True)) if r[0] != "3"}
+
+
+def test_no_inferred_link_outweighs_a_stated_one():
+    w = conversations.WEIGHTS
+    assert w["stated"] > sum(v for k, v in w.items() if k != "stated")
